@@ -18,7 +18,7 @@ expected to agree by chance (below 0.001 for 0.5 GB of text).
 
 Defined results. Null, empty and short texts have no window and lose nothing. A null doc_id
 comes after all others. Rows with one doc_id and one text are one document and get the same
-result; rows with one doc_id and different texts stay apart by a hash of the text. Other
+result; rows with one doc_id and different texts stay apart, in the order of a hash of the text. Other
 columns, whatever their names, pass through `remove_repeats` unchanged.
 """
 
