@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from curvelens.llm import substring_dedup
+from curvelens.llm import decontaminate, substring_dedup
 
 
 def queries() -> dict:
-    return {"op3_substring_dedup": substring_dedup.op3_substring_dedup}
+    return {"op3_substring_dedup": substring_dedup.op3_substring_dedup, "op7_decontaminate": decontaminate.op7_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:

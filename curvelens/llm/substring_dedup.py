@@ -169,12 +169,12 @@ def _later(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, m, s = i[later], m[later], s[later]
         by = np.lexsort((s, m, i))
         i, m, s = i[by], m[by], s[by]
-        first = np.flatnonzero((np.diff(i, prepend=-1) != 0) | (np.diff(m, prepend=0) != 0)) if len(i) else np.zeros(0, np.int64)
-        if len(i) and (not len(first) or first[0] != 0):
-            first = np.concatenate([[0], first])
+        change = np.ones(len(i), bool)
+        change[1:] = (i[1:] != i[:-1]) | (m[1:] != m[:-1])
+        first = np.flatnonzero(change)
         out_ids += i[first].tolist()
         out_marks += m[first].tolist()
-        out_starts += [s[a:b].tobytes() for a, b in zip(first, [*first[1:], len(i)], strict=True)]
+        out_starts += [x.tobytes() for x in np.split(s, first[1:])] if len(i) else []
     for a in range(0, max(1, len(out_ids)), 20_000):
         yield pa.RecordBatch.from_arrays([pa.array(out_ids[a : a + 20_000], pa.int64()), pa.array(out_marks[a : a + 20_000], pa.int32()), pa.array(out_starts[a : a + 20_000], pa.binary())], ["__id", "__mark", "__starts"])
 
