@@ -10,8 +10,8 @@ share is one entry per piece, not per document. Entries are packed by range of t
 several times the text in shuffle. (2) Spark groups the packs by hash range, and each group
 sorts its entries and marks all but the earliest of equal hashes. The number of ranges
 follows the bytes of text, so a group stays near RANGE_BYTES of text whatever the input.
-(3) Marked starts go back to their documents in a join; overlapping windows merge into
-maximal intervals there.
+(3) Marked starts go back to their documents, again packed, in a cogroup by ranges of a hash of
+the document; overlapping windows merge into maximal intervals there.
 
 Equality of windows is equality of 64-bit hashes: with n windows, n * n / 2**65 pairs are
 expected to agree by chance (below 0.001 for 0.5 GB of text).
@@ -44,7 +44,7 @@ PIECE_BYTES = 8 << 20
 _NONE = np.iinfo(np.int64).max
 
 _PACK = pa.schema([("__range", pa.int32()), ("__ids", pa.binary()), ("__marks", pa.binary()), ("__counts", pa.binary()), ("__starts", pa.binary()), ("__hashes", pa.binary())])
-_FOUND = "__id long, __mark int, __starts binary"
+_FOUND = pa.schema([("__home", pa.int64()), ("__ids", pa.binary()), ("__marks", pa.binary()), ("__counts", pa.binary()), ("__starts", pa.binary())])
 
 
 def _packs(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -126,26 +126,27 @@ def _packs(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator
     yield from flush()
 
 
-def _later(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the entries of a hash range, those that are not the earliest with their hash."""
+def _home(ids: np.ndarray, marks: np.ndarray, bits: int) -> np.ndarray:
+    """The group in which a document and its marked starts meet."""
+    h = scan.mixed(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + marks.astype(np.uint64))
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
+def _later(group: pa.Table, bits: int) -> pa.Table:
+    """Of the entries of a hash range, those that are not the earliest with their hash, packed by home."""
     ids, marks, starts, hashes, gone = [], [], [], [], []
-    for batch in group:
+    for batch in group.to_batches():
         for key, i, m, c, s, h in zip(*(batch.column(k).to_pylist() for k in _PACK.names), strict=True):
             counts = np.frombuffer(c, np.uint32)
-            s = np.frombuffer(s, np.uint16 if len(s) == 2 * int(counts.sum()) else np.uint32)
+            s = np.frombuffer(s, np.uint16 if len(s) == 2 * int(counts.sum()) else np.uint32).astype(np.uint32)
+            entry = (np.repeat(np.frombuffer(i, np.int64), counts), np.repeat(np.frombuffer(m, np.int32), counts), s)
             if key < 0:
-                gone.append((np.frombuffer(i, np.int64), np.frombuffer(m, np.int32), counts, s))
+                gone.append(entry)
                 continue
-            ids.append(np.repeat(np.frombuffer(i, np.int64), counts))
-            marks.append(np.repeat(np.frombuffer(m, np.int32), counts))
-            starts.append(s.astype(np.uint32))
+            ids.append(entry[0])
+            marks.append(entry[1])
+            starts.append(s)
             hashes.append(np.frombuffer(h, np.uint64))
-    out_ids, out_marks, out_starts = [], [], []
-    for i, m, counts, s in gone:
-        cuts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        out_ids += i.tolist()
-        out_marks += m.tolist()
-        out_starts += [s[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     if hashes:
         h = np.concatenate(hashes)
         del hashes
@@ -160,37 +161,35 @@ def _later(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, m, s, h = i[by], m[by], s[by], h[by]
         later = np.zeros(len(h), bool)
         later[1:] = h[1:] == h[:-1]
-        # the same position of one document, once from each of two pieces, is not earlier than itself
-        same = np.zeros(len(h), bool)
-        same[1:] = later[1:] & (i[1:] == i[:-1]) & (m[1:] == m[:-1]) & (s[1:] == s[:-1])
-        group_of = np.cumsum(~later) - 1
-        first = np.flatnonzero(~later)[group_of] if len(h) else group_of
-        later &= ~(same & (i == i[first]) & (m == m[first]) & (s == s[first])) if len(h) else later
-        i, m, s = i[later], m[later], s[later]
-        by = np.lexsort((s, m, i))
-        i, m, s = i[by], m[by], s[by]
-        change = np.ones(len(i), bool)
-        change[1:] = (i[1:] != i[:-1]) | (m[1:] != m[:-1])
-        first = np.flatnonzero(change)
-        out_ids += i[first].tolist()
-        out_marks += m[first].tolist()
-        out_starts += [x.tobytes() for x in np.split(s, first[1:])] if len(i) else []
-    for a in range(0, max(1, len(out_ids)), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(out_ids[a : a + 20_000], pa.int64()), pa.array(out_marks[a : a + 20_000], pa.int32()), pa.array(out_starts[a : a + 20_000], pa.binary())], ["__id", "__mark", "__starts"])
-
-
-def repeated_starts(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(__id, __mark, __starts): first words, as packed uint32, of windows that start earlier elsewhere."""
-    _, size = text_size(docs, text_col)
-    bits = power_of_two(size / range_bytes).bit_length() - 1
+        # a place of one document that came from two pieces is not earlier than itself
+        first = np.flatnonzero(~later)[np.cumsum(~later) - 1] if len(h) else np.zeros(0, np.int64)
+        later &= (i != i[first]) | (m != m[first]) | (s != s[first])
+        gone.append((i[later], m[later], s[later]))
+    i, m, s = (np.concatenate([x[k] for x in gone]) for k in range(3)) if gone else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32))
+    home = _home(i, m, bits)
+    by = np.lexsort((s, m, i, home))
+    i, m, s, home = i[by], m[by], s[by], home[by]
+    out = []
+    cuts = np.flatnonzero(np.diff(home, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(home)], strict=True):
+        head = np.ones(b - a, bool)
+        head[1:] = (i[a + 1 : b] != i[a : b - 1]) | (m[a + 1 : b] != m[a : b - 1])
+        head = np.flatnonzero(head)
+        counts = np.diff(np.append(head, b - a)).astype(np.uint32)
+        out.append((int(home[a]), i[a:b][head].tobytes(), m[a:b][head].tobytes(), counts.tobytes(), s[a:b].tobytes()))
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _FOUND.types, strict=True)], schema=_FOUND) if out else _FOUND.empty_table()
+
+
+def _bits(docs: DataFrame, text_col: str, range_bytes: int) -> int:
+    return power_of_two(text_size(docs, text_col)[1] / range_bytes).bit_length() - 1
+
+
+def repeated_starts(docs: DataFrame, bits: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """First words of the windows that start earlier elsewhere, packed by home, over 2**bits ranges of hashes."""
     rows = docs.select(identity(id_col).alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), _mark(text_col).alias("__mark"))
     packs = rows.mapInArrow(lambda it: _packs(it, window, bits), "__range int, __ids binary, __marks binary, __counts binary, __starts binary, __hashes binary")
     keyed = packs.withColumn("__key", F.when(F.col("__range") < 0, -1 - F.col("__range")).otherwise(F.col("__range")))
-    return keyed.groupBy("__key").applyInArrow(_grouped, _FOUND)
-
-
-def _grouped(group: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(list(_later(iter(group.to_batches()))))
+    return keyed.groupBy("__key").applyInArrow(lambda group: _later(group, bits), "__home long, __ids binary, __marks binary, __counts binary, __starts binary")
 
 
 def _mark(text_col: str):
@@ -198,57 +197,84 @@ def _mark(text_col: str):
     return F.hash(F.col(f"`{text_col}`").cast("string"))
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the shuffle of the join."""
-    pack = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        for piece in scan.pieces(b, "__text"):
-            texts = [None if x is None else pack.compress(x.encode()) for x in piece.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in piece.schema.names if n != "__text"), pa.array(texts, pa.binary())], [*(n for n in piece.schema.names if n != "__text"), "__packed"])
+def _squeeze(bits: int):
+    """Texts compressed for the shuffle to their homes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            for piece in scan.pieces(b, "__text"):
+                texts = [None if x is None else pack.compress(x.encode()) for x in piece.column("__text").to_pylist()]
+                home = _home(piece.column("__id").to_numpy(), piece.column("__mark").to_numpy(), bits)
+                names = [n for n in piece.schema.names if n != "__text"]
+                yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), pa.array(texts, pa.binary()), pa.array(home)], [*names, "__packed", "__home"])
+
+    return run
 
 
-def _covered(n: int, packs: list[bytes] | None, window: int) -> np.ndarray:
-    """Which of n words the windows that start in packs cover: maximal intervals."""
+def _covered(n: int, starts: list[np.ndarray], window: int) -> np.ndarray:
+    """Which of n words the windows with these first words cover: maximal intervals."""
     edge = np.zeros(n + 1, np.int64)
-    for p in packs or ():
-        s = np.frombuffer(p, np.uint32).astype(np.int64)
+    for s in starts:
         np.add.at(edge, s, 1)
         np.add.at(edge, s + window, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _with_starts(docs: DataFrame, window: int, id_col: str, text_col: str, keep: list[str], range_bytes: int) -> DataFrame:
-    found = repeated_starts(docs, window, id_col, text_col, range_bytes).groupBy("__id", "__mark").agg(F.collect_list("__starts").alias("__found"))
+def _at_home(docs: DataFrame, window: int, id_col: str, text_col: str, keep: list[str], range_bytes: int, finish, schema: str) -> DataFrame:
+    """finish(rows, texts, starts of the windows to remove for each row), home by home."""
+    bits = _bits(docs, text_col, range_bytes)
+    found = repeated_starts(docs, bits, window, id_col, text_col)
     side = docs.select(*(F.col(f"`{c}`") for c in keep), identity(id_col).alias("__id"), _mark(text_col).alias("__mark"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    side = side.mapInArrow(_squeeze, f"{kinds}{', ' * bool(keep)}__id long, __mark int, __packed binary")
-    return side.join(found, ["__id", "__mark"], "left")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    side = side.mapInArrow(_squeeze(bits), f"{kinds}__id long, __mark int, __packed binary, __home long")
 
+    def meet(rows: pa.Table, marked: pa.Table) -> pa.Table:
+        gone: dict[tuple, list] = {}
+        for i, m, c, s in zip(*(marked.column(k).to_pylist() for k in _FOUND.names[1:]), strict=True):
+            cuts = np.cumsum(np.frombuffer(c, np.uint32), dtype=np.int64)[:-1]
+            for doc, mark, part in zip(np.frombuffer(i, np.int64).tolist(), np.frombuffer(m, np.int32).tolist(), np.split(np.frombuffer(s, np.uint32).astype(np.int64), cuts), strict=True):
+                gone.setdefault((doc, mark), []).append(part)
+        open_ = zstandard.ZstdDecompressor()
+        texts = (None if x is None else open_.decompress(x) for x in rows.column("__packed").to_pylist())
+        keys = zip(rows.column("__id").to_pylist(), rows.column("__mark").to_pylist(), strict=True)
+        return finish(rows, texts, (gone.get(k, []) for k in keys))
 
-def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
-    open_ = zstandard.ZstdDecompressor()
-    return [b"" if x is None else open_.decompress(x) for x in batch.column("__packed").to_pylist()]
+    return side.groupBy("__home").cogroup(found.groupBy("__home")).applyInArrow(meet, schema)
 
 
 def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
     lut = scan.space_words()
 
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, counts, removed, shas = batch.column("__own").to_pylist(), [], [], []
-            for text, packs in zip(_unpacked(batch), batch.column("__found").to_pylist(), strict=True):
-                buf = np.frombuffer(text, np.uint8)
-                starts, ends, docs_ = scan.words(buf, np.array([0, len(buf)]), lut)
-                gone = _covered(len(starts), packs, window)
-                kept, _ = scan.gather(buf, starts[~gone], ends[~gone], 0x20)
-                counts.append(len(starts))
-                removed.append(int(gone.sum()))
-                shas.append(hashlib.sha256(kept[:-1].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def finish(rows: pa.Table, texts, gone) -> pa.Table:
+        counts, removed, shas = [], [], []
+        for text, found in zip(texts, gone, strict=True):
+            buf = np.frombuffer(text or b"", np.uint8)
+            starts, ends, _ = scan.words(buf, np.array([0, len(buf)]), lut)
+            out = _covered(len(starts), found, window)
+            kept, _ = scan.gather(buf, starts[~out], ends[~out], 0x20)
+            counts.append(len(starts))
+            removed.append(int(out.sum()))
+            shas.append(hashlib.sha256(kept[:-1].tobytes()).hexdigest())
+        return pa.table([rows.column("__own").combine_chunks(), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     own = docs.withColumn("__own", F.col(f"`{id_col}`").cast("long"))
-    return _with_starts(own, window, id_col, text_col, ["__own"], range_bytes).mapInArrow(out, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _at_home(own, window, id_col, text_col, ["__own"], range_bytes, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def _cut(text: bytes, gone: list[np.ndarray], window: int, lut: np.ndarray) -> bytes:
+    """The text without the covered words and the white space after them."""
+    buf = np.frombuffer(text, np.uint8)
+    starts, _, _ = scan.words(buf, np.array([0, len(buf)]), lut)
+    covered = _covered(len(starts), gone, window)
+    cuts = np.append(starts, len(buf))
+    edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
+    at, kept = 0, []
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        kept.append(text[at : cuts[a]])
+        at = cuts[b]
+    return b"".join([*kept, text[at:]])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -259,27 +285,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     lut = scan.space_words()
     others = [c for c in docs.columns if c != text_col]
 
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts: list[str | None] = []
-            for packed, text, packs in zip(batch.column("__packed").to_pylist(), _unpacked(batch), batch.column("__found").to_pylist(), strict=True):
-                if packed is not None and packs:
-                    buf = np.frombuffer(text, np.uint8)
-                    starts, _, _ = scan.words(buf, np.array([0, len(buf)]), lut)
-                    gone = _covered(len(starts), packs, window)
-                    cuts = np.append(starts, len(buf))
-                    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                    at, kept = 0, []
-                    for a, b in zip(edges[::2], edges[1::2], strict=True):
-                        kept.append(text[at : cuts[a]])
-                        at = cuts[b]
-                    text = b"".join([*kept, text[at:]])
-                texts.append(None if packed is None else text.decode())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], [*others, text_col])
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    joined = _with_starts(docs, window, id_col, text_col, others, range_bytes)
-    return joined.mapInArrow(out, f"{kinds}{', ' * bool(others)}`{text_col}` string").select(*(F.col(f"`{c}`") for c in docs.columns))
+    def finish(rows: pa.Table, texts, gone) -> pa.Table:
+        out = [None if text is None else (_cut(text, found, window, lut) if found else text).decode() for text, found in zip(texts, gone, strict=True)]
+        return pa.table([*(rows.column(c) for c in others), pa.array(out, pa.string())], [*others, text_col])
+
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
+    return _at_home(docs, window, id_col, text_col, others, range_bytes, finish, f"{kinds}`{text_col}` string").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
