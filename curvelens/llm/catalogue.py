@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from curvelens.llm import decontaminate, substring_dedup
+from curvelens.llm import bpe, decontaminate, substring_dedup
+
+_MODULES = (bpe, substring_dedup, decontaminate)
 
 
 def queries() -> dict:
-    return {"op3_substring_dedup": substring_dedup.op3_substring_dedup, "op7_decontaminate": decontaminate.op7_decontaminate}
+    return {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
