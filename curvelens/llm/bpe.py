@@ -53,12 +53,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
 # --- merges as higher-order functions ---
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<hex, rank>>, dealt by CRC-32; folded to one literal by the optimizer."""
+def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """array<map<hex, rank>>, dealt by CRC-32: one constant value.
+
+    It is the value of a scalar subquery over a local row, which execution puts in as a literal;
+    a projection of its own names it, and the optimizer merges that with the one that folds.
+    Written into the plan itself, 50,000 entries are printed with every description of every
+    plan: 0.5 GB of event log for one query.
+    """
     dealt: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
     for piece, rank in ranks.items():
         dealt[zlib.crc32(piece) % _BUCKETS][piece.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(dealt, separators=(",", ":"))), "array<map<string,int>>")
+    return _constant(spark, dealt, "array<map<string,int>>")
+
+
+def _constant(spark: SparkSession, value, kind: str) -> Column:
+    row = spark.createDataFrame([(json.dumps(value, separators=(",", ":")),)], "value string")
+    return row.select(F.from_json("value", kind).alias("value")).scalar()
 
 
 def _let(value: Column, body) -> Column:
@@ -301,7 +312,7 @@ def _put_together(head, finish):
 
 def _shared(docs: DataFrame, text_col: str, ranks: dict[bytes, int], head_words: int):
     """Character classes and the dictionary of frequent words, as broadcasts; the rank literal."""
-    context, maps = docs.sparkSession.sparkContext, rank_literal(ranks)
+    context, maps = docs.sparkSession.sparkContext, rank_literal(docs.sparkSession, ranks)
     classes = context.broadcast(char_classes())
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"))
     counted = written(texts.mapInArrow(_count_words(classes), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -316,7 +327,7 @@ def _shared(docs: DataFrame, text_col: str, ranks: dict[bytes, int], head_words:
         least = row["n"]
     spread_out = max(docs.sparkSession.sparkContext.defaultParallelism * 2, 8)
     frequent = short.filter(F.col("n") >= least).select("word").repartition(spread_out)
-    found = frequent.select("word", F.get(ids_of(F.array("word"), maps), F.lit(0)).alias("ids")).toArrow().combine_chunks()
+    found = frequent.withColumn("__maps", maps).select("word", F.get(ids_of(F.array("word"), F.col("__maps")), F.lit(0)).alias("ids")).toArrow().combine_chunks()
     words = pa.concat_arrays(found.column("word").chunks) if found.num_rows else pa.array([], pa.binary())
     ids = pa.concat_arrays(found.column("ids").chunks) if found.num_rows else pa.array([], pa.list_(pa.int32()))
     return classes, context.broadcast(Dictionary(words, ids)), maps
@@ -327,7 +338,7 @@ def _encoded(docs: DataFrame, text_col: str, ranks: dict[bytes, int], head_words
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
     coded = rows.mapInArrow(_look_up(classes, head), f"{kinds}__codes binary, __other array<binary>")
-    folded = coded.select(*(F.col(f"`{c}`") for c in keep), "__codes", F.when(F.col("__other").isNotNull(), ids_of(F.col("__other"), maps)).alias("__ids"))
+    folded = coded.withColumn("__maps", maps).select(*(F.col(f"`{c}`") for c in keep), "__codes", F.when(F.col("__other").isNotNull(), ids_of(F.col("__other"), F.col("__maps"))).alias("__ids"))
     return folded.mapInArrow(_put_together(head, finish), schema)
 
 
@@ -343,13 +354,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "text", ids
     return _encoded(docs, text_col, ranks, head_words, keep, finish, f"{kinds}`{ids_col}` array<int>")
 
 
-def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The binary pieces of the ids, one after the other; an unknown id gives null."""
+def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", into: str = "decoded") -> DataFrame:
+    """The table with the binary pieces of the ids, one after the other; an unknown id gives null."""
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
-    names = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
-    return _let(names, lambda n: F.when(F.exists(ids, lambda i: F.coalesce(F.get(n, i), F.lit("")) == ""), F.lit(None)).otherwise(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(n, i)), ""))))
+    ids = F.col(f"`{ids_col}`")
+
+    def joined(n: Column) -> Column:
+        found = F.transform(ids, lambda i: F.nullif(F.get(n, i), F.lit("")))
+        return F.when(~F.exists(found, lambda x: x.isNull()), F.unhex(F.array_join(found, "")))
+
+    named = df.withColumn("__pieces", _constant(df.sparkSession, pieces, "array<string>"))
+    return named.select(*(F.col(f"`{c}`") for c in df.columns if c != into), _let(F.col("__pieces"), joined).alias(into))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD) -> DataFrame:

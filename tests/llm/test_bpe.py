@@ -52,7 +52,7 @@ def test_encode_then_decode_keeps_columns(spark):
     df = spark.createDataFrame([(1, "Ünder the sea's", "x"), (1, None, None), (None, "", "y")], "doc_id long, text string, n_tokens string")
     out = bpe.encode(df, RANKS)
     assert out.columns == [*df.columns, "token_ids"]
-    back = out.select("text", "token_ids", bpe.decode(out["token_ids"], RANKS).alias("back")).collect()
+    back = bpe.decode(out, RANKS, into="back").collect()
     assert {(x["text"] or "", bytes(x["back"]).decode()) for x in back} == {("Ünder the sea's",) * 2, ("", "")}
     assert sorted(map(tuple, (x["token_ids"] for x in back))) == sorted([(), (), tuple(TOKENIZER.encode_ordinary("Ünder the sea's"))])
     assert bpe.digests(df.limit(0), RANKS).count() == 0
