@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from curvelens.llm import bpe, decontaminate, substring_dedup
+from curvelens.llm import bpe, decontaminate, near_dedup, substring_dedup
 
-_MODULES = (bpe, substring_dedup, decontaminate)
+_MODULES = (bpe, substring_dedup, decontaminate, near_dedup)
 
 
 def queries() -> dict:

@@ -48,3 +48,15 @@ def text_size(docs: DataFrame, column: str = "text") -> tuple[int, int]:
 
 def power_of_two(n: float) -> int:
     return 1 << max(0, int(max(n, 1) - 1).bit_length())
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once, read by column, no lineage."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kinds_of(df: DataFrame, columns: list[str]) -> str:
+    """DDL of these columns, with a comma after each."""
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
