@@ -228,15 +228,19 @@ class Dictionary:
     """Word hashes in buckets, with the ids of each word; numpy arrays only."""
 
     def __init__(self, words: pa.Array, ids: pa.Array):
-        buf, offsets = scan.text_bytes(words)
-        h = scan.span_hashes(buf, offsets[:-1], offsets[1:])
-        self.bits = max(8, int(len(h)).bit_length() + 1)
-        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
+        h = [np.zeros(0, np.uint64)]
+        for a in range(0, len(words), 50_000):
+            buf, offsets = scan.text_bytes(words.slice(a, 50_000))
+            h.append(scan.span_hashes(buf, offsets[:-1], offsets[1:]))
+        h = np.concatenate(h)
+        self.bits = max(8, int(len(h)).bit_length())
+        order = np.argsort(h)
         self.keys = h[order]
-        self.bucket = np.searchsorted(slot[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
-        self.ids, self.starts, self.counts = flat_lists(ids)
-        self.starts, self.counts = self.starts[order], self.counts[order]
+        self.bucket = np.searchsorted(self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+        flat, starts, counts = flat_lists(ids)
+        self.counts = counts[order]
+        self.ids = flat[scan.spread(starts[order], self.counts)]
+        self.starts = (np.cumsum(self.counts) - self.counts).astype(np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash, -1 where it isn't here."""

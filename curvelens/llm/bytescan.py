@@ -18,7 +18,16 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _WINDOW = 0xD6E8FEB86659FD93
 _WINDOW_INV = pow(_WINDOW, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+
+
+class _Kept(dict):
+    """A cache that stays where it is: functions travel with an empty one."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_POWERS: dict[int, np.ndarray] = _Kept()
 
 
 def space_words() -> np.ndarray:
