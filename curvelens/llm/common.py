@@ -60,3 +60,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def kinds_of(df: DataFrame, columns: list[str]) -> str:
     """DDL of these columns, with a comma after each."""
     return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
+
+
+def place(value: Column, cuts: list[int]) -> Column:
+    """How many cuts are below the value: a binary search as nested conditions."""
+    if not cuts:
+        return F.lit(0)
+    mid = len(cuts) // 2
+    return F.when(value <= cuts[mid], place(value, cuts[:mid])).otherwise(place(value, cuts[mid + 1 :]) + mid + 1)
+
+
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join whatever the sizes: work stays in proportion to the input, and nothing is broadcast."""
+    return left.hint("merge").join(right, on, how)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import NULL_ID, identity, kinds_of, stored, table
+from curvelens.llm.common import NULL_ID, identity, kinds_of, merged, stored, table
 from curvelens.llm.components import components
 
 SHINGLE = 5
@@ -205,39 +205,39 @@ def _links(rows: DataFrame, nodes: DataFrame, percent: int, width: int, block: i
     places = stored(ordered.mapInArrow(_neighbours, "region long, node long, beside long"), "places")
 
     sizes = places.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    weight = places.join(sizes, "region").groupBy("node").agg(F.sum("size").alias("weight"))
-    weighed = places.select("region", "node").join(weight, "node")
+    weight = merged(places, sizes, "region").groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = merged(places.select("region", "node"), weight, "node")
     centres = weighed.groupBy("region").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")).select("region", (-F.col("top.minus")).alias("centre"))
-    star = places.select("region", "node").join(centres, "region").filter("node <> centre").select("node", "centre", F.lit(True).alias("star"))
+    star = merged(places.select("region", "node"), centres, "region").filter("node <> centre").select("node", "centre", F.lit(True).alias("star"))
     beside = places.filter("beside >= 0").select(F.greatest("node", "beside").alias("node"), F.least("node", "beside").alias("centre"), F.lit(False).alias("star"))
     pairs = star.unionByName(beside).groupBy("node", "centre").agg(F.max("star").alias("star"))
     # one byte of each minimum is enough to tell near from far
     short = stored(signs.mapInArrow(_bytes_of_minima, "node long, sign binary"), "signs")
-    pairs = pairs.join(short.select("node", F.col("sign").alias("left")), "node").join(short.select(F.col("node").alias("centre"), F.col("sign").alias("right")), "centre")
+    pairs = merged(merged(pairs, short.select("node", F.col("sign").alias("left")), "node"), short.select(F.col("node").alias("centre"), F.col("sign").alias("right")), "centre")
     pairs = stored(pairs.mapInArrow(_shares, "node long, centre long, star boolean, share double"), "pairs")
 
     stars = pairs.filter(F.col("star") & (F.col("share") >= CENTRE_SHARE))
     main = stars.groupBy("node").agg(F.max_by("centre", F.struct("share", (-F.col("centre")).alias("minus"))).alias("main"))
     # neighbours that meet in a family anyway need no family of their own
     loose = pairs.filter(~F.col("star") & (F.col("share") >= NEIGHBOUR_SHARE)).select("node", "centre")
-    loose = loose.join(main, "node", "left").join(main.select(F.col("node").alias("centre"), F.col("main").alias("other")), "centre", "left")
+    loose = merged(merged(loose, main, "node", "left"), main.select(F.col("node").alias("centre"), F.col("main").alias("other")), "centre", "left")
     loose = loose.filter(~(F.coalesce(F.col("main"), F.col("node")) == F.coalesce(F.col("other"), F.col("centre"))))
     families = stored(stars.select("centre", "node").union(loose.select("centre", "node")).distinct(), "families")
 
     blocks = families.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = families.join(blocks, "centre").select("centre", "node", "blocks", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), F.lit(1).alias("kind"))
+    members = merged(families, blocks, "centre").select("centre", "node", "blocks", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), F.lit(1).alias("kind"))
     heads = blocks.select("centre", F.col("centre").alias("node"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"))
     texts = rows.select(F.col("__row").alias("node"), F.col("__packed").alias("packed"))
     confirm = lambda group: _confirm(group, percent, width)
     seats = members.unionByName(heads)
-    first = seats.join(texts, "node").select("centre", "block", "node", "kind", "packed")
+    first = merged(seats, texts, "node").select("centre", "block", "node", "kind", "packed")
     found = stored(first.groupBy("centre", "block").applyInArrow(confirm, "a long, b long"), "links")
     edges = found.filter("b >= 0")
     if blocks.filter("blocks > 1").limit(1).count():
         alone = found.filter("b < 0").select(F.col("a").alias("node")).distinct()
-        visits = members.filter("blocks > 1").join(alone, "node").select("centre", "node", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).filter("own <> block")
+        visits = merged(members.filter("blocks > 1"), alone, "node").select("centre", "node", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).filter("own <> block")
         seats = members.filter("blocks > 1").select("centre", "node", "block", "kind").union(visits.select("centre", "node", "block", F.lit(2).alias("kind")))
-        more = seats.join(texts, "node").select("centre", "block", "node", "kind", "packed")
+        more = merged(seats, texts, "node").select("centre", "block", "node", "kind", "packed")
         edges = edges.union(stored(more.groupBy("centre", "block").applyInArrow(confirm, "a long, b long"), "links").filter("b >= 0"))
     return edges
 
@@ -258,12 +258,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
     first = rows.filter("__key is not null").groupBy("__key").agg(F.min(F.struct("__id", "__row")).alias("first"))
     first = stored(first.select("__key", F.col("first.__id").alias("first_id"), F.col("first.__row").alias("node")), "nodes")
-    nodes = first.select("node").join(rows.select(F.col("__row").alias("node"), "__sign"), "node")
+    nodes = merged(first.select("node"), rows.select(F.col("__row").alias("node"), "__sign"), "node")
     linked = components(_links(rows, nodes, percent, width, block))
-    label = first.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    label = merged(first, linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = label.groupBy("component").agg(F.min(F.struct("first_id", "node")).alias("lead"))
-    label = label.join(lead, "component").select("__key", F.col("lead.first_id").alias("__lead"), F.col("lead.node").alias("__lead_row"))
-    out = rows.join(label, "__key", "left")
+    label = merged(label, lead, "component").select("__key", F.col("lead.first_id").alias("__lead"), F.col("lead.node").alias("__lead_row"))
+    out = merged(rows, label, "__key", "left")
     return out.select(*(F.col(f"`{c}`") for c in keep), "__id", "__n", "__packed", F.coalesce("__lead", "__id").alias("__lead"), (F.coalesce("__lead_row", "__row") == F.col("__row")).alias("__kept"))
 
 
