@@ -40,7 +40,7 @@ from curvelens.llm.common import table, written
 HEAD = 1 << 20
 LONGEST = 48
 #: Bytes of text whose words are counted together before they are sent on.
-COUNT_BYTES = 24 << 20
+COUNT_BYTES = 12 << 20
 _BUCKETS = 8192
 _NO_RANK = (1 << 31) - 1
 
@@ -268,7 +268,7 @@ def _look_up(classes, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, known = classes.value, head.value
         for batch in batches:
-            for piece in scan.pieces(batch, "__text", 2 << 20):
+            for piece in scan.pieces(batch, "__text"):
                 buf, offsets = scan.text_bytes(piece.column("__text"))
                 starts, ends, docs = pattern_words(buf, offsets, kinds)
                 h = scan.span_hashes(buf, starts, ends)
