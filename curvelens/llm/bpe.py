@@ -224,37 +224,20 @@ def _count_words(classes):
     return run
 
 
-class Dictionary:
-    """Word hashes in buckets, with the ids of each word; numpy arrays only."""
+class Dictionary(scan.HashIndex):
+    """Word hashes with the ids of each word."""
 
     def __init__(self, words: pa.Array, ids: pa.Array):
         h = [np.zeros(0, np.uint64)]
         for a in range(0, len(words), 50_000):
             buf, offsets = scan.text_bytes(words.slice(a, 50_000))
             h.append(scan.span_hashes(buf, offsets[:-1], offsets[1:]))
-        h = np.concatenate(h)
-        self.bits = max(8, int(len(h)).bit_length())
-        order = np.argsort(h)
-        self.keys = h[order]
-        self.bucket = np.searchsorted(self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+        super().__init__(np.concatenate(h))
         flat, starts, counts = flat_lists(ids)
-        self.counts = counts[order]
-        self.ids = flat[scan.spread(starts[order], self.counts)]
+        self.counts = counts[self.order]
+        self.ids = flat[scan.spread(starts[self.order], self.counts)]
         self.starts = (np.cumsum(self.counts) - self.counts).astype(np.int32)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Place of each hash, -1 where it isn't here."""
-        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = np.full(len(h), -1, np.int32)
-        at, stop = self.bucket[slot], self.bucket[slot + 1]
-        rest = np.flatnonzero(at < stop)
-        at, stop, h = at[rest], stop[rest], h[rest]
-        while len(rest):
-            same = self.keys[at] == h
-            out[rest[same]] = at[same]
-            on = ~same & (at + 1 < stop)
-            rest, at, stop, h = rest[on], at[on] + 1, stop[on], h[on]
-        return out
+        del self.order
 
 
 def flat_lists(ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -149,3 +149,27 @@ def gather(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: int | Non
     out = np.full(int(offsets[-1]), gap, np.uint8)
     out[spread(offsets[:-1], lengths)] = buf[spread(starts, lengths)]
     return out, offsets
+
+
+class HashIndex:
+    """Places of 64-bit hashes among up to some millions of them; numpy arrays only."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.bits = max(8, int(len(hashes)).bit_length())
+        self.order = np.argsort(hashes)
+        self.keys = hashes[self.order]
+        self.bucket = np.searchsorted(self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash in `keys`, -1 where it isn't there."""
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.full(len(h), -1, np.int32)
+        at, stop = self.bucket[slot], self.bucket[slot + 1]
+        rest = np.flatnonzero(at < stop)
+        at, stop, h = at[rest], stop[rest], h[rest]
+        while len(rest):
+            same = self.keys[at] == h
+            out[rest[same]] = at[same]
+            on = ~same & (at + 1 < stop)
+            rest, at, stop, h = rest[on], at[on] + 1, stop[on], h[on]
+        return out

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from curvelens.llm import bpe, decontaminate, language, licences, media, near_dedup, sharding, substring_dedup, warc
+from curvelens.llm import bpe, decontaminate, language, licences, lm, media, near_dedup, sharding, substring_dedup, warc
 
-_MODULES = (bpe, substring_dedup, language, licences, media, decontaminate, near_dedup, warc, sharding)
+_MODULES = (bpe, lm, substring_dedup, language, licences, media, decontaminate, near_dedup, warc, sharding)
 
 
 def queries() -> dict:

@@ -91,13 +91,15 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, dice:
     lines, parts = F.split("text", "\r?\n"), F.split("text", "\r?\n[ \t]*\r?\n")
     several = lambda pieces: F.when(F.size(pieces) > 1, pieces).otherwise(F.array().cast("array<string>"))
     segments = rows.select("id", "mark", F.posexplode(F.concat(F.array("text"), several(lines), several(parts))).alias("segment", "piece"))
-    # a bigram takes four characters at least and, as words are longer, few words of a segment can be skipped by its length
-    segments = segments.filter(F.length("piece") >= 2 * least)
-    words = segments.select("id", "mark", "segment", F.regexp_extract_all(F.lower("piece"), F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
-    # as many distinct bigrams as words less one, or fewer where words repeat: only the upper side needs the bigrams
-    words = words.filter(F.size("words") - 1 >= least)
-    grams_of = F.array_distinct(F.transform(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get("words", i + 1))))
-    found = words.select("id", "mark", "segment", grams_of.alias("grams")).filter(F.size("grams").between(least, most))
+    # n bigrams take n + 1 words, of one character at least and one between
+    segments = segments.filter(F.length("piece") >= 2 * least + 1)
+    # The words of a segment are bound once (a lambda), or each bigram would cut the text anew.
+    cut = F.array(F.regexp_extract_all(F.lower("piece"), F.lit("[a-z0-9]+"), F.lit(0)))
+
+    def pairs(words):
+        return F.array_distinct(F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))))
+
+    found = segments.select("id", "mark", "segment", F.get(F.transform(cut, pairs), F.lit(0)).alias("grams")).filter(F.size("grams").between(least, most))
     found = found.select("id", "mark", "segment", F.size("grams").alias("own"), F.explode("grams").alias("bigram"))
     shared = found.join(F.broadcast(grams), "bigram").filter(F.col("own").between(F.col("size") * low, F.col("size") * high))
     counted = shared.groupBy("id", "mark", "segment", "template", "licence", "own", "size").agg(F.count_distinct("bigram").alias("both"))

@@ -132,7 +132,7 @@ def crawl(pages: DataFrame) -> DataFrame:
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resolve(crawl(table(spark, sf_dir, "pages")))
     shown = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    return out.select("record_id", "url_key", "at", "original_id", "original_at", "verdict", shown.alias("headers"), "digest", "length")
+    return out.select("record_id", "url_key", F.col("at").alias("captured"), "original_id", "original_at", "verdict", shown.alias("headers"), "digest", "length")
 
 
 ORACLE = {
@@ -149,17 +149,17 @@ with parts as (
 ), urls as (
   select *, host || path || case when query <> '' then '?' || query else '' end as url_key from keyed
 ), firsts as (
-  select url_key, 2 * page_id as at, 2 * page_id as record_id, etag, lm, strlen(html) as length from urls
+  select url_key, 2 * page_id as captured, 2 * page_id as record_id, etag, lm, strlen(html) as length from urls
 ), found as (
-  select 2 * u.page_id + 1 as record_id, u.url_key, u.later as at, u.page_id, f.record_id as original_id, f.at as original_at, u.etag as my_etag, u.lm as my_lm, f.etag as etag, f.lm as lm, f.length as length
-  from urls u asof left join firsts f on u.url_key = f.url_key and u.later > f.at
+  select 2 * u.page_id + 1 as record_id, u.url_key, u.later as captured, u.page_id, f.record_id as original_id, f.captured as original_at, u.etag as my_etag, u.lm as my_lm, f.etag as etag, f.lm as lm, f.length as length
+  from urls u asof left join firsts f on u.url_key = f.url_key and u.later > f.captured
 ), judged as (
   select *, case when original_id is null then 'missing'
     when page_id % 5 < 3 then case when my_etag = etag then 'resolved' else 'changed' end
     when page_id % 5 = 3 then case when my_lm = lm then 'resolved' else 'changed' end
     else 'unchecked' end as verdict from found
 )
-select cast(record_id as bigint) as record_id, url_key, cast(at as bigint) as at, cast(original_id as bigint) as original_id, cast(original_at as bigint) as original_at, verdict,
+select cast(record_id as bigint) as record_id, url_key, cast(captured as bigint) as captured, cast(original_id as bigint) as original_id, cast(original_at as bigint) as original_at, verdict,
   case when verdict in ('resolved', 'unchecked') then 'cache-control=max-age=' || (page_id % 9) || ';content-type=text/html;date=' || at || ';etag=' || case when page_id % 5 < 3 then 'W/' || my_etag else etag end || ';last-modified=' || lm end as headers,
   case when verdict in ('resolved', 'unchecked') then etag end as digest,
   cast(case when verdict in ('resolved', 'unchecked') then length end as bigint) as length
