@@ -1 +1,110 @@
-"""Readers of metric logs; `load` chooses one by what a path holds."""
+"""Readers of metric logs; `load` reads any number of them, each with the reader that its bytes ask for.
+
+Single files are a source each and are parsed in parallel. Of the formats that are folders
+(event files, file stores) a folder is a source: its files meet in one task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curvelens.model import READINGS
+from curvelens.sources import binary, text
+from curvelens.sources.text import Log, Unreadable
+
+FORMATS = ["hf", "csv", "jsonl", "wandb", "wandb-native", "lightning", "tensorboard", "mlflow"]
+SOURCES = "source_id string, format string, axis string, skipped_rows long, skipped_values long, unread_bytes long, overwritten long, error string"
+
+
+def detect(name: str, data: bytes) -> str:
+    """The format of one file, by its suffix, else by what it begins with."""
+    suffix = name.rpartition(".")[2].lower()
+    if binary.is_sqlite(data) or suffix in ("db", "sqlite", "sqlite3"):
+        return "mlflow"
+    if suffix == "wandb" or data[:4] == binary.RUN_HEADER[:4]:
+        return "wandb-native"
+    if "tfevents" in name:
+        return "tensorboard"
+    if suffix in ("jsonl", "json", "csv", "tsv", "txt"):
+        if suffix == "json":
+            return "hf"
+        return "jsonl" if suffix == "jsonl" else text.sniff_csv(data.decode("utf-8-sig", "replace"))
+    raise Unreadable(f"no format is known for {name}")
+
+
+def read_bytes(name: str, data: bytes, fmt: str | None = None, step_key: str | None = None, single_run: str | None = None) -> Log:
+    fmt = fmt or detect(name, data)
+    decoded = "" if fmt in ("mlflow", "wandb-native", "tensorboard") else data.decode("utf-8-sig", "replace")
+    if fmt == "wandb" and text.is_chart(text.records(decoded)[0]):
+        fmt = "chart"
+    if fmt in ("csv", "lightning"):
+        return text.read_csv(decoded, step_key, fmt)
+    if fmt == "jsonl":
+        return text.read_jsonl(decoded, step_key)
+    if fmt == "hf":
+        return text.read_trainer_state(decoded)
+    if fmt == "wandb":
+        return text.read_history(decoded, step_key)
+    if fmt == "chart":
+        return text.read_chart(decoded, single_run)
+    if fmt == "wandb-native":
+        return binary.read_native(data, step_key)
+    if fmt == "mlflow":
+        return binary.read_sqlite(data)
+    if fmt == "tensorboard":
+        return binary.read_events({name: data})
+    raise Unreadable(f"unknown format {fmt!r}")
+
+
+def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "content")
+
+
+def load(spark: SparkSession, path: str, fmt: str | None = None, step_key: str | None = None, single_run: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Readings of every log under a path."""
+    return _parsed(files(spark, path, pattern), path, fmt, step_key, single_run, READINGS, False)
+
+
+def load_sources(spark: SparkSession, path: str, fmt: str | None = None, step_key: str | None = None, single_run: str | None = None, pattern: str | None = None) -> DataFrame:
+    """A row per log: its format, axis, and what could not be read; an error instead of readings."""
+    return _parsed(files(spark, path, pattern), path, fmt, step_key, single_run, SOURCES, True)
+
+
+def _parsed(found: DataFrame, root: str, fmt, step_key, single_run, schema: str, about: bool) -> DataFrame:
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+    types = [kinds[c.split(" ")[1]] for c in schema.split(", ")]
+
+    def emit(source: str, read) -> pa.RecordBatch | None:
+        try:
+            log, error = read(), None
+        except Exception as e:  # a log that cannot be read must not stop the others
+            log, error = Log(fmt or "unknown"), f"{type(e).__name__}: {e}"
+        if about:
+            rows = [(source, log.format, log.axis, log.skipped_rows, log.skipped_values, log.unread_bytes, log.overwritten, error)]
+        else:
+            rows = list(text.rows_of(log, source))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], columns) if rows else None
+
+    if fmt in ("tensorboard", "mlflow-files"):
+        reader = binary.read_events if fmt == "tensorboard" else binary.read_file_store
+
+        def folder(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            batch = emit(key[0], lambda: reader({binary.relative(p, root): bytes(c) for p, c in zip(frame["path"], frame["content"], strict=True)}))
+            return batch.to_pandas() if batch is not None else pd.DataFrame(columns=columns)
+
+        return found.withColumn("source", F.lit(root)).groupBy("source").applyInPandas(folder, schema)
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if (out := emit(p, lambda p=p, data=data: read_bytes(p.rpartition("/")[2], data, fmt, step_key, single_run))) is not None:
+                    yield out
+
+    return found.mapInArrow(single, schema)
