@@ -267,17 +267,79 @@ def levels(spark, d):
     return out.select("run_id", "win", *(_r(F.col(c), c) for c in ("start", "best", "final", "noise", "start_noise")), "has_progress", _r(F.col("gave_back"), "gave_back"))
 
 
-@query()
+_FOLD = f"""{_LEVELS},
+ln as (select run_id, start - best as progress, noise, 1.2533 / sqrt(win) * rel as rel_noise, win, scatter, rel from lx where start - best > greatest(6 * noise, 4 * start_noise)),
+ls as (select run_id, list({{'i': pos, 'level': smooth, 'best': smooth, 'open': false, 'base': 0::double, 'peak': 0::double, 'margin': 0::double, 'first': 0::bigint, 'found': []::struct("first" bigint, "last" bigint, base double, peak double, recovered boolean)[]}} order by pos) as points, max(pos) as last_pos from sm group by 1),
+fo as (select run_id, progress, win, scatter, rel, last_pos, list_reduce(list_prepend(points[1], points), lambda a, x:
+  case when not a.open and x.level > least(a.best, x.level) + greatest(0.25 * progress, 4 * greatest(noise, rel_noise * abs(least(a.best, x.level))))
+    then {{'i': x.i, 'level': x.level, 'best': least(a.best, x.level), 'open': true, 'base': least(a.best, x.level), 'peak': x.level, 'margin': greatest(0.25 * progress, 4 * greatest(noise, rel_noise * abs(least(a.best, x.level)))), 'first': x.i, 'found': a.found}}
+  when not a.open then {{'i': x.i, 'level': x.level, 'best': least(a.best, x.level), 'open': false, 'base': 0::double, 'peak': 0::double, 'margin': 0::double, 'first': 0::bigint, 'found': a.found}}
+  when x.level <= a.base + 0.25 * a.margin then {{'i': x.i, 'level': x.level, 'best': least(a.best, x.level), 'open': false, 'base': 0::double, 'peak': 0::double, 'margin': 0::double, 'first': 0::bigint, 'found': list_append(a.found, {{'first': a.first, 'last': x.i, 'base': a.base, 'peak': greatest(a.peak, x.level), 'recovered': true}})}}
+  else {{'i': x.i, 'level': x.level, 'best': a.best, 'open': true, 'base': a.base, 'peak': greatest(a.peak, x.level), 'margin': a.margin, 'first': a.first, 'found': a.found}} end) as s
+  from ls join ln using (run_id)),
+ex as (select run_id, progress, win, scatter, rel, unnest(case when s.open then list_append(s.found, {{'first': s.first, 'last': last_pos, 'base': s.base, 'peak': s.peak, 'recovered': false}}) else s.found end, recursive := false) as e from fo),
+es as (select ex.run_id, progress, win, scatter, rel, e."first" as i, e."last" as j, e.base, e.peak, e.recovered, a.step as first_step, b.step as last_step from ex join t a on a.run_id = ex.run_id and a.pos = e."first" join t b on b.run_id = ex.run_id and b.pos = e."last")"""
+
+
+@query(f"with {_FOLD} select run_id, first_step, last_step, round(base, 6) as base, round(peak, 6) as peak, recovered from es")
 def excursions(spark, d):
     def one(run, key):
         curve = run.get("train/loss")
         lv = kernels.levels(curve.value)
         return pd.DataFrame([{"run_id": key[1], "first_step": int(curve.step[e.start]), "last_step": int(curve.step[e.end]), "base": e.base, "peak": e.peak, "recovered": e.recovered} for e in (kernels.excursions(lv) if lv else [])], columns=["run_id", "first_step", "last_step", "base", "peak", "recovered"])
 
-    return detectors.grouped(curves(spark, d), one, "run_id string, first_step long, last_step long, base double, peak double, recovered boolean")
+    out = detectors.grouped(curves(spark, d), one, "run_id string, first_step long, last_step long, base double, peak double, recovered boolean")
+    return out.select("run_id", "first_step", "last_step", _r(F.col("base"), "base"), _r(F.col("peak"), "peak"), "recovered")
 
 
-@query()
+@query(f"""with {_FOLD}, sp as (select run_id, max(step) - min(step) as span, count(*) as n from t group by 1)
+select run_id, case when i < n / 10.0 then 'Early rise' else 'Setback' end as title, case when (last_step - first_step)::double / span >= 0.05 then 'warning' else 'info' end as severity, first_step as step_start, last_step as step_end,
+  round((peak - base) / progress, 6) as share_of_progress, last_step - first_step as steps_lost
+from es join sp using (run_id) where recovered and j - i + 1 >= win and (last_step - first_step)::double / span >= 0.01""")
+def curve_setbacks(spark, d):
+    found = detectors.run_all(curves(spark, d), {"setbacks": detectors.setbacks}).filter("title in ('Setback', 'Early rise')")
+    told = F.col("evidence")
+    return found.select("run_id", "title", "severity", "step_start", "step_end", _r(told["share_of_progress"].cast("double"), "share_of_progress"), told["steps_lost"].cast("long").alias("steps_lost"))
+
+
+_LOGS = f"hl as (select run_id, pos, median(ln(value)) over {_W21} as m, list(ln(value)) over {_W21} as held from t), ml as (select run_id, pos, list_aggregate(list_transform(held, lambda x: abs(x - m)), 'median') as mad from hl)"
+
+
+@query(f"""with {_LEVELS}, {_LOGS}, lb as (select run_id, pos, median(value) over (partition by run_id order by step rows between 5 preceding and 1 preceding) as before from t),
+z as (select sm.run_id, sm.step, sm.pos, ln(value / smooth) / greatest(1.4826 * ml.mad, greatest(rel, 1e-3)) as z, (value - greatest(smooth, before)) / (start - best) as share from sm join ml using (run_id, pos) join lb using (run_id, pos) join lx using (run_id) where start - best > greatest(6 * noise, 4 * start_noise))
+select run_id, step, case when share >= 0.5 then 'large' else 'modest' end as kind, round(share, 6) as share from z where pos >= 3 and z > 3 and share >= 0.1""")
+def curve_spike_points(spark, d):
+    """Points of the spike rule, at a lower threshold than the detector's, in windows and one map of levels."""
+
+    def one(run, key):
+        curve = run.get("train/loss")
+        lv = kernels.levels(curve.value)
+        rows = []
+        if lv is not None and lv.has_progress:
+            z = np.log(curve.value / lv.smooth) / np.maximum(1.4826 * kernels.trailing_mad(np.log(curve.value), 21)[1], max(lv.relative_scatter, 1e-3))
+            before = np.full(len(curve), np.inf)
+            before[3:] = kernels.trailing_median(curve.value[:-1], 5)[2:]
+            share = (curve.value - np.maximum(lv.smooth, before)) / lv.progress
+            rows = [{"run_id": key[1], "step": int(curve.step[i]), "kind": "large" if share[i] >= 0.5 else "modest", "share": float(share[i])} for i in np.flatnonzero((z > 3) & (share >= 0.1) & (np.arange(len(z)) >= 3))]
+        return pd.DataFrame(rows, columns=["run_id", "step", "kind", "share"])
+
+    out = detectors.grouped(curves(spark, d), one, "run_id string, step long, kind string, share double")
+    return out.select("run_id", "step", "kind", _r(F.col("share"), "share"))
+
+
+_REBOUND = """{'i': step, 'v': value, 'peak': step, 'pv': value, 'low': -1::bigint, 'lv': 0::double, 'pend': false, 'pp': 0::bigint, 'pl': 0::bigint, 'pc': 0::bigint, 'found': []::struct(peak bigint, low bigint, confirmed bigint, high bigint)[]}"""
+
+
+@query(f"""with {EVENTS}, r as (select run_id, list({_REBOUND} order by step) as p from e where metric = 'lr' group by 1),
+f as (select run_id, list_reduce(p, lambda a, x:
+  case when a.low < 0 and x.v >= a.pv then struct_update(a, i := x.i, v := x.v, peak := x.i, pv := x.v)
+  when a.low < 0 and a.pv - x.v > 0.01 * a.pv then struct_update(a, i := x.i, v := x.v, low := x.i, lv := x.v, pend := false, found := case when a.pend then list_append(a.found, {{'peak': a.pp, 'low': a.pl, 'confirmed': a.pc, 'high': a.peak}}) else a.found end)
+  when a.low < 0 then a
+  when x.v <= a.lv then struct_update(a, i := x.i, v := x.v, low := x.i, lv := x.v)
+  when x.v - a.lv > 0.01 * greatest(a.pv, x.v) then struct_update(a, i := x.i, v := x.v, peak := x.i, pv := x.v, low := -1::bigint, lv := 0::double, pend := true, pp := a.peak, pl := a.low, pc := x.i)
+  else a end) as s from r),
+o as (select run_id, unnest(case when s.pend then list_append(s.found, {{'peak': s.pp, 'low': s.pl, 'confirmed': s.pc, 'high': s.peak}}) else s.found end) as q from f)
+select run_id, q.peak as peak_step, q.low as low_step, q.confirmed as confirmed_step, q.high as high_step from o""")
 def lr_rebounds(spark, d):
     def one(run, key):
         curve = run.get("lr")
@@ -359,6 +421,22 @@ def _eval_noise(spark, d):
 
 _QUERIES["eval_noise"] = _eval_noise
 
+_GW = "(partition by run_id order by step rows between 20 preceding and current row)"
+_SQL["grad_norm"] = f"""with {EVENTS}, v as (select run_id, step, value, row_number() over (partition by run_id order by step) - 1 as pos, count(*) over (partition by run_id) as n from e where metric = 'grad_norm'),
+h as (select *, median(value) over {_GW} as m, list(value) over {_GW} as held from v),
+z as (select run_id, step, pos, value, case when m > 0 then value / m else 0 end as ratio, 0.6745 * (value - m) / greatest(list_aggregate(list_transform(held, lambda x: abs(x - m)), 'median'), 1e-12) as z from h where n >= 5),
+f as (select *, case when pos - lag(pos) over (partition by run_id order by pos) <= 2 then 0 else 1 end as cut from z where z > 10 and ratio >= 10)
+select 'events' as source_id, run_id, 'Gradient-norm explosion' as title, min(step) as step_start, max(step) as step_end, cast(sum(cut) as bigint) as groups, first(step order by ratio desc, step) as peak_step, round(max(ratio), 6) as ratio from f group by 2"""
+
+
+def _grad_norm(spark, d):
+    found = detectors.run_all(event_readings(spark, d).filter("metric = 'grad_norm'"), {"grad_norm": detectors.grad_norm}).filter("title = 'Gradient-norm explosion'")
+    told = F.col("evidence")
+    return found.select("source_id", "run_id", "title", "step_start", "step_end", told["count"].cast("long").alias("groups"), told["peak_step"].cast("long").alias("peak_step"), _r(told["ratio_to_median"].cast("double"), "ratio"))
+
+
+_QUERIES["grad_norm"] = _grad_norm
+
 
 @query(f"""with {EVENTS}, w as (select run_id, step, wall_time, step - lag(step) over o as ds, wall_time - lag(wall_time) over o as dt from e where metric = 'train/loss' window o as (partition by run_id order by step)),
 i as (select run_id, step, case when dt > 0 and ds > 0 then dt / ds end as s, row_number() over (partition by run_id order by step) - 1 as k, count(*) over (partition by run_id) as n from w where ds is not null),
@@ -375,6 +453,33 @@ def timing_evidence(spark, d):
     return out.select("run_id", "observations", "invalid", "win", *(F.round(F.nanvl(c, F.lit(None).cast("double")), 6).alias(c) for c in ("early", "late", "ratio")))
 
 
+_SQL["throughput"] = _SQL["timing_evidence"].replace("select run_id, observations, invalid, win, round(case when good then early end, 6) as early, round(case when good then late end, 6) as late, round(case when good then late / early end, 6) as ratio from q", "select run_id, 'Throughput regression' as title, win, round(late / early, 6) as ratio from q where good and late / early >= 1.4")
+
+
+def _throughput(spark, d):
+    found = detectors.run_all(event_readings(spark, d).filter("metric = 'train/loss'"), {"throughput": detectors.throughput})
+    return found.select("run_id", "title", F.col("evidence")["window"].cast("long").alias("win"), _r(F.col("evidence")["ratio"].cast("double"), "ratio"))
+
+
+_QUERIES["throughput"] = _throughput
+_SQL["loss_floor"] = f"""with {EVENTS}, v as (select run_id, step, value, first(value order by step) over w as f0, min(step) over w as s0, max(step) over w as s1, count(*) over w as n from e where metric = 'train/loss' window w as (partition by run_id)),
+h as (select *, bool_and(value >= 0) over (partition by run_id) as good from v where step - s0 <= (s1 - s0) * 0.5), l as (select run_id, min(step) as step from h where n >= 5 and s1 > s0 and f0 > 0 and good and value <= 40 and value <= f0 * 0.5 group by 1)
+select run_id, l.step, round(value, 6) as value from l join v using (run_id, step)"""
+
+
+def _loss_floor(spark, d):
+    """The rule at wider thresholds, since no loss of these tables starts near zero."""
+    found = detectors.run_all(event_readings(spark, d).filter("metric = 'train/loss'"), {"loss_floor": _wide_floor})
+    return found.select("run_id", F.col("evidence")["step"].cast("long").alias("step"), _r(F.col("evidence")["value"].cast("double"), "value"))
+
+
+def _wide_floor(run):
+    return detectors.loss_floor(run, early=0.5, floor=40, part=0.5)
+
+
+_QUERIES["loss_floor"] = _loss_floor
+
+
 @query()
 def run_all_ordered(spark, d):
     found = detectors.run_all(_all(spark, d))
@@ -399,9 +504,17 @@ def fault_variants(spark, d):
     return rows.groupBy("run_id", "fault").agg(F.count(F.lit(1)).alias("points"), F.count_if(F.isnan("value")).alias("bad"), F.round(F.sum(F.nanvl("value", F.lit(0.0))), 3).alias("total"))
 
 
-@query()
+@query(f"""with {_FOLD}, ta as (select run_id, max((peak - base) / progress) as tallest from es group by 1),
+l as (select *, start - best > greatest(6 * noise, 4 * start_noise) as moved, (final - best) / (start - best) as back from lx)
+select run_id, case when not moved then case when start > 0 and final >= 1.5 * start then 'bad' else 'no progress' end when back < 0.1 then 'good' when back >= 0.5 then 'bad' else 'middling' end as ending, round(case when moved then back end, 6) as gave_back, round(coalesce(tallest, 0), 6) as tallest from l left join ta using (run_id)""")
 def run_endings(spark, d):
-    return studies.endings(curves(spark, d))
+    return studies.endings(curves(spark, d)).select("run_id", "ending", F.round(F.nanvl("gave_back", F.lit(None).cast("double")), 6).alias("gave_back"), _r(F.col("tallest"), "tallest"))
+
+
+@query(f"with {GAPPED} select run_id, 'Non-finite training loss' as title, 'error' as severity, min(step) as step_start, max(step) as step_end, count(*) as n from g where isnan(value) group by 1")
+def nonfinite_findings(spark, d):
+    found = detectors.run_all(curves(spark, d, gaps=True), {"divergence": detectors.divergence}).filter("title = 'Non-finite training loss'")
+    return found.select("run_id", "title", "severity", "step_start", "step_end", F.col("evidence")["count"].cast("long").alias("n"))
 
 
 _CHART = f"{CURVES}, c as (select run_id, step, value, cast(floor(case when max(step) over (partition by run_id) > min(step) over (partition by run_id) then (step - min(step) over (partition by run_id))::double / (max(step) over (partition by run_id) - min(step) over (partition by run_id)) else 0 end * 200) as bigint) as col from t)"

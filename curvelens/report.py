@@ -43,6 +43,26 @@ def json_rows(readings: DataFrame, findings: DataFrame) -> DataFrame:
     return joined.select("source_id", "run_id", F.to_json(body).alias("report"))
 
 
+def notes(source: dict, metrics: list[dict]) -> list[str]:
+    """What a reader of a report must know about its input, in words."""
+    unreadable = [m for m in metrics if m["unreadable_steps"]]
+    repeated = [m for m in metrics if m["readings"] > m["distinct_steps"] and (m["metric"] != "epoch" or m["excluded"])]
+    excluded = [m["metric"] for m in metrics if m["excluded"]]
+    told = [
+        (unreadable, f"unreadable values at {sum(m['unreadable_steps'] for m in unreadable)} steps are gaps"),
+        (repeated, f"steps are logged several times in {', '.join(m['metric'] for m in repeated)}"),
+        (excluded, f"conflicting values keep {', '.join(excluded)} out of trajectories"),
+        (source.get("skipped_rows"), f"{source.get('skipped_rows')} records were skipped"),
+        (source.get("skipped_values"), f"{source.get('skipped_values')} values were no numbers"),
+        (source.get("unread_bytes"), f"{source.get('unread_bytes')} bytes at the end could not be read"),
+        (source.get("overwritten"), f"{source.get('overwritten')} readings were taken back by a restart"),
+        (source.get("axis") == "row_index", "there is no step column: positions are row numbers"),
+        (source.get("axis") == "logging_step", "steps are logging steps, not training steps"),
+        (source.get("error"), f"the log could not be read: {source.get('error')}"),
+    ]
+    return [text for there, text in told if there]
+
+
 def gate(findings: DataFrame, sources: DataFrame | None = None, fail_on: str | None = None, timing: DataFrame | None = None) -> int:
     """0 fine, 1 a finding of this severity or worse, 2 input that is incomplete or without the timing asked for."""
     if fail_on is None and timing is None:

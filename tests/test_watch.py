@@ -48,3 +48,10 @@ def test_reports_and_gate(spark, tmp_path):
     assert json.loads(out.read_text())["findings"][0]["title"] == "Diverged (rose from the start)"
     (tmp_path / "b.csv").write_text("note\nx\n")
     assert main(["analyze", str(tmp_path / "b.csv")], spark) == 2
+
+
+def test_notes_tell_what_is_odd_about_an_input():
+    fine = {"metric": "train/loss", "readings": 5, "distinct_steps": 5, "unreadable_steps": 0, "excluded": False}
+    assert report.notes({"axis": "step", "skipped_rows": 0}, [fine]) == []
+    odd = report.notes({"axis": "row_index", "skipped_rows": 2, "unread_bytes": 3}, [fine | {"readings": 6, "excluded": True, "unreadable_steps": 1}])
+    assert len(odd) == 6 and "train/loss" in odd[1]
