@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import table, written
+from curvelens.llm.common import opened, share, table, written
 
 #: Entries and bytes that bound the broadcast dictionary of frequent words.
 HEAD = 1 << 20
@@ -249,7 +249,7 @@ def _look_up(classes, head):
     """Per row the codes of its words: a place in the dictionary, or -1 - place in the piece's other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, known = classes.value, head.value
+        kinds, known = classes.value, opened(head)
         for batch in batches:
             for piece in scan.pieces(batch, "__text"):
                 buf, offsets = scan.text_bytes(piece.column("__text"))
@@ -273,7 +273,7 @@ def _put_together(head, finish):
     """Batches with the ids of each row: finish(other columns, ids, offsets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
+        known = opened(head)
         other = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32))
         for batch in batches:
             cuts = np.flatnonzero(batch.column("__ids").is_valid().to_numpy(zero_copy_only=False)).tolist()
@@ -317,7 +317,7 @@ def _shared(docs: DataFrame, text_col: str, ranks: dict[bytes, int], head_words:
     found = frequent.withColumn("__maps", maps).select("word", F.get(ids_of(F.array("word"), F.col("__maps")), F.lit(0)).alias("ids")).toArrow().combine_chunks()
     words = pa.concat_arrays(found.column("word").chunks) if found.num_rows else pa.array([], pa.binary())
     ids = pa.concat_arrays(found.column("ids").chunks) if found.num_rows else pa.array([], pa.list_(pa.int32()))
-    return classes, context.broadcast(Dictionary(words, ids)), maps
+    return classes, share(docs.sparkSession, Dictionary(words, ids)), maps
 
 
 def _encoded(docs: DataFrame, text_col: str, ranks: dict[bytes, int], head_words: int, keep: list[str], finish, schema: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +74,16 @@ def place(value: Column, cuts: list[int]) -> Column:
 def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """A sort-merge join whatever the sizes: work stays in proportion to the input, and nothing is broadcast."""
     return left.hint("merge").join(right, on, how)
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of any object; its classes travel with it, as those of functions do."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(broadcast: Broadcast):
+    """What was shared: unpacked once in a worker, which then lets go of the bytes."""
+    if not hasattr(broadcast, "_opened"):
+        broadcast._opened = cloudpickle.loads(broadcast.value)
+        broadcast.__dict__.pop("_value", None)
+    return broadcast._opened

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import NULL_ID, identity, merged, stored, table
+from curvelens.llm.common import NULL_ID, identity, merged, opened, share, stored, table
 
 HEAD = 1 << 20
 MODEL_WORDS, WIDTH, HIDDEN = 4094, 64, 24
@@ -263,12 +263,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     head = words.filter(F.col("n") >= least).select("word", "n").toArrow()
     model = Model(head.column("word").to_numpy().astype(np.int64).view(np.uint64), head.column("n").to_numpy().astype(np.int64), n + texts, kinds + bool(texts), texts)
     part = min(1_000_000, -(-1_000_000 * SAMPLE_TEXTS // max(texts, 1)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in scan.pieces(batch, "text"):
-                _, _, _, items, ends = shared.value.items_of(piece.column("text"))
+                _, _, _, items, ends = opened(shared).items_of(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([piece.column("hash"), pa.array([items[a:b].astype(np.uint16).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["hash", "items"])
 
     rows = own.filter(F.pmod("hash", F.lit(1_000_000)) < part).mapInArrow(numbered, "hash long, items binary").collect()
@@ -279,10 +279,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     model, words = fit(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = opened(shared)
         for batch in batches:
             for piece in scan.pieces(batch, "text", SIDE_BYTES):
                 h, place, per, items, ends = m.items_of(piece.column("text"))
