@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark import Broadcast, cloudpickle
@@ -22,11 +25,15 @@ def identity(column: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, local mode), one is set."""
+    """The folder in spark.checkpoint.dir; where that is unset (tests, local mode), a temporary one of this process."""
+    context = spark.sparkContext._jsc.sc()
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = have.get() if have.isDefined() else "/tmp/curvelens-shared"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not context.getCheckpointDir().isDefined():
+            own = tempfile.mkdtemp(prefix="curvelens-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            spark.sparkContext.setCheckpointDir(f"file://{own}")
+        return context.getCheckpointDir().get()
+    if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
