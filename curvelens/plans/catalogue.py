@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +18,7 @@ from curvelens.model import DETECTORS
 from curvelens.operators import curves as kernels
 from curvelens.operators import detectors, joins, project, studies
 from curvelens.plans.series import CURVES, EVENTS, GAPPED, ORDERS, curves, event_readings, order_readings, table
+from curvelens.streaming.watch import follow, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -553,6 +558,27 @@ def history_extends(spark, d):
     return joins.extends(rows.filter("step < 40"), changed).select("run_id", "extends", "changed")
 
 
+@query()
+def watch_batches(spark, d):
+    """New findings by batch as the events' histories arrive in three parts."""
+    home = shared_home(spark)
+    rows = event_readings(spark, d)
+    for low, high in ((-1, 20), (20, 45), (45, 1 << 53)):
+        rows.filter((F.col("step") > low) & (F.col("step") <= high)).write.mode("append").parquet(f"{home}/in")
+        watch(follow(spark, f"{home}/in"), f"{home}/home", lambda found, number: None, once=True).awaitTermination()
+    told = spark.read.parquet(f"{home}/home/findings")
+    return told.groupBy(F.col("batch").cast("int").alias("batch"), "detector").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("run_id").alias("runs"))
+
+
+def shared_home(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{folder}/watch-{uuid.uuid4().hex}"
+    own = tempfile.mkdtemp(prefix="curvelens-watch-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}/watch"
+
+
 # --- the flagship: setbacks of every curve ---
 
 
