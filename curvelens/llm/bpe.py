@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import opened, share, table, written
+from curvelens.llm.common import in_small_batches, opened, share, table, written
 
 #: Entries and bytes that bound the broadcast dictionary of frequent words.
 HEAD = 1 << 20
@@ -301,7 +301,7 @@ def _shared(docs: DataFrame, text_col: str, ranks: dict[bytes, int], head_words:
     """Character classes and the dictionary of frequent words, as broadcasts; the rank literal."""
     context, maps = docs.sparkSession.sparkContext, rank_literal(docs.sparkSession, ranks)
     classes = context.broadcast(char_classes())
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"))
+    texts = in_small_batches(docs).select(F.col(f"`{text_col}`").cast("string").alias("__text"))
     counted = written(texts.mapInArrow(_count_words(classes), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     short = counted.filter(F.octet_length("word").between(1, LONGEST))
     # As many words for each count, the frequent first, until HEAD is full: the counts are few numbers below a cut.

@@ -94,3 +94,15 @@ def opened(broadcast: Broadcast):
         broadcast._opened = cloudpickle.loads(broadcast.value)
         broadcast.__dict__.pop("_value", None)
     return broadcast._opened
+
+
+#: Rows of an Arrow batch where rows are whole texts: Spark's default of 10,000 makes batches of tens of megabytes.
+TEXT_ROWS = 1000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; the session's Arrow batches become small, unless it has a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name, "10000") == "10000":
+        df.sparkSession.conf.set(name, str(TEXT_ROWS))
+    return df

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import table, text_size
+from curvelens.llm.common import in_small_batches, table, text_size
 
 WINDOW = 10
 #: Bytes of item text that one pass searches for.
@@ -168,7 +168,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: i
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all by default), __text, __n_words, __hits (packed uint32 word places) and __items."""
     keep = docs.columns if keep is None else keep
-    out = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.lit(b"").alias("__hits"), F.array().cast("array<string>").alias("__items"))
+    out = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.lit(b"").alias("__hits"), F.array().cast("array<string>").alias("__items"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if not f.name.startswith("__") or f.name == "__text" or f.name in keep)
     for block in item_blocks(benchmark, item_id_col, item_text_col, block_bytes):
         out = out.mapInArrow(_search(window_sets(block, window)), f"{kinds}, __n_words long, __hits binary, __items array<string>")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import NULL_ID, identity, merged, opened, share, stored, table
+from curvelens.llm.common import NULL_ID, identity, in_small_batches, merged, opened, share, stored, table
 
 HEAD = 1 << 20
 MODEL_WORDS, WIDTH, HIDDEN = 4094, 64, 24
@@ -248,7 +248,7 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model of the training texts, and the table (word, n) of all their words."""
-    own = docs.filter(~held_out(id_col)).select(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(2)).alias("hash"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    own = in_small_batches(docs).filter(~held_out(id_col)).select(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(2)).alias("hash"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     counted = own.select("text").mapInArrow(_count, "word long, n long, texts long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
     counted = stored(counted, "words")
     words = counted.filter("n > 0")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import kinds_of, table
+from curvelens.llm.common import in_small_batches, kinds_of, table
 
 WIDTH = 192
 
@@ -307,7 +307,7 @@ def store(payload: bytes) -> tuple[bytes, str]:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = in_small_batches(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").cast("string").alias("text"))
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

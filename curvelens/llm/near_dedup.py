@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import NULL_ID, identity, kinds_of, merged, stored, table
+from curvelens.llm.common import NULL_ID, identity, in_small_batches, kinds_of, merged, stored, table
 from curvelens.llm.components import components
 
 SHINGLE = 5
@@ -252,7 +252,7 @@ def _bytes_of_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, percent: int = PERCENT, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """The kept columns (all by default but the text), __id, __n (set size), __packed (the text, compressed), __lead (smallest __id of the group) and __kept."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    side = docs.select(*(F.col(f"`{c}`") for c in keep), identity(id_col).alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    side = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), identity(id_col).alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     signed = side.mapInArrow(_signatures(keep, width), f"{kinds_of(docs, keep)}__id long, __n long, __key binary, __sign binary, __packed binary")
     rows = stored(signed.withColumn("__row", F.monotonically_increasing_id()), "signed")
 

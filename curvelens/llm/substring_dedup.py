@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import identity, power_of_two, table, text_size
+from curvelens.llm.common import identity, in_small_batches, power_of_two, table, text_size
 
 WINDOW = 20
 #: Bytes of text whose windows one group of step 2 holds on average.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 6 << 20
 #: Bytes of text of which step 1 merges equal windows.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 5 << 20
 _NONE = np.iinfo(np.int64).max
 
 _PACK = pa.schema([("__range", pa.int32()), ("__ids", pa.binary()), ("__marks", pa.binary()), ("__counts", pa.binary()), ("__starts", pa.binary()), ("__hashes", pa.binary())])
@@ -235,7 +235,7 @@ def _covered(n: int, starts: list[np.ndarray], window: int) -> np.ndarray:
 
 def _at_home(docs: DataFrame, window: int, id_col: str, text_col: str, keep: list[str], range_bytes: int, finish, schema: str) -> DataFrame:
     """finish(rows, texts, starts of the windows to remove for each row), home by home."""
-    bits = _bits(docs, text_col, range_bytes)
+    bits = _bits(in_small_batches(docs), text_col, range_bytes)
     found = repeated_starts(docs, bits, window, id_col, text_col)
     side = docs.select(*(F.col(f"`{c}`") for c in keep), identity(id_col).alias("__id"), _mark(text_col).alias("__mark"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
