@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bpe, decontaminate, language, near_dedup, substring_dedup
-from curvelens.llm.common import shared_path, table
+from curvelens.llm.common import recorded, removed, shared_path, table
+
+#: Tables that near_dedup has stored; when the next stage begins, its output is written and they go.
+_TABLES: list[str] = []
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +24,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_duplicates(docs)
+    removed(spark, _TABLES)
+    with recorded(_TABLES):
+        return near_dedup.drop_near_duplicates(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    removed(spark, _TABLES)
     return substring_dedup.remove_repeats(docs)
 
 

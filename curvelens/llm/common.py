@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -62,6 +63,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, read by column, no lineage."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    for paths in _RECORDED:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -106,3 +109,25 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     if df.sparkSession.conf.get(name, "10000") == "10000":
         df.sparkSession.conf.set(name, str(TEXT_ROWS))
     return df
+
+
+#: Lists that note which tables are stored while they are here.
+_RECORDED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]):
+    """Notes the tables that are stored meanwhile, so that they can go once they are of no more use."""
+    _RECORDED.append(paths)
+    try:
+        yield
+    finally:
+        _RECORDED.remove(paths)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()

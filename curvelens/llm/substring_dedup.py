@@ -39,9 +39,9 @@ from curvelens.llm.common import identity, in_small_batches, power_of_two, table
 
 WINDOW = 20
 #: Bytes of text whose windows one group of step 2 holds on average.
-RANGE_BYTES = 6 << 20
+RANGE_BYTES = 4 << 20
 #: Bytes of text of which step 1 merges equal windows.
-PIECE_BYTES = 5 << 20
+PIECE_BYTES = 3 << 20
 _NONE = np.iinfo(np.int64).max
 
 _PACK = pa.schema([("__range", pa.int32()), ("__ids", pa.binary()), ("__marks", pa.binary()), ("__counts", pa.binary()), ("__starts", pa.binary()), ("__hashes", pa.binary())])
@@ -126,6 +126,7 @@ def _packs(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator
             counts = np.diff(np.append(first, len(doc))).astype(np.uint32)
             out.append((key, ids[doc[first]].tobytes(), marks[doc[first]].tobytes(), counts.tobytes(), start.tobytes(), b"" if hs is None else _low_bytes(hs)))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _PACK, strict=True)], schema=_PACK)
+        pa.default_memory_pool().release_unused()
 
     for batch in batches:
         for piece in scan.pieces(batch, "__text", PIECE_BYTES):
