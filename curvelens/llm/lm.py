@@ -12,12 +12,17 @@ of the whole corpus, so that training starts from the unigram model.
 
 Plan. (1) Words of all training texts are counted, per piece, then in Spark. (2) The HEAD most
 frequent words with their counts are broadcast (bounded); their counts, those of items and of
-classes and all totals are of all training texts. (3) Weights are fitted by truncated
-backpropagation in numpy on the driver, on about SAMPLE_TEXTS whole training texts (a hash of
-the id decides), at most STEPS windows of LANES x WINDOW tokens: parameters that bound the
-driver's work and memory. (4) One Arrow pass scores all texts, those of a piece side by side,
-one step for all at a time. (5) Words that are not in the head go through a join with the
-table of counts; they are few, and shuffled as (text, hash, times).
+classes and all totals are of all training texts. (3) One Arrow pass turns every text into
+numbers of items, which are stored (two bytes a token), with all of the result but the network's
+part. (4) Weights are fitted on all training texts, each token being a target once an epoch:
+texts are dealt by a hash of id and text to rounds and, in a round, to tasks of about
+TASK_TOKENS; a task goes through its texts by truncated backpropagation (numpy, windows of
+LANES x WINDOW tokens) from the weights of the round before; weights and second moments of a
+round's tasks are averaged in Spark, by tokens, and the driver gets the average only. A corpus of
+less than TASK_TOKENS is one task, and is read up to EPOCHS times if that takes less than STEPS
+windows; a larger one is read once. (5) One Arrow pass over the stored numbers scores all texts,
+those of a piece side by side, one step for all at a time. (6) Words that are not in the head go
+through a join with the table of counts; they are few, and shuffled as (text, hash, times).
 
 Words are told apart by 64-bit hashes.
 
@@ -28,6 +33,7 @@ training texts N and V are 0. Other columns of the table are not looked at.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +46,15 @@ from curvelens.llm.common import NULL_ID, identity, in_small_batches, merged, op
 
 HEAD = 1 << 20
 MODEL_WORDS, WIDTH, HIDDEN = 4094, 64, 24
-SAMPLE_TEXTS, STEPS, EPOCHS = 2000, 700, 3
+#: A corpus of one task is read again, at most EPOCHS times in all, until about STEPS windows were seen.
+STEPS, EPOCHS = 700, 3
 LANES, WINDOW = 96, 16
+#: Training tokens of a task and of a round, about; rounds of a corpus of several tasks, least and most.
+TASK_TOKENS, ROUND_TOKENS, ROUNDS = 1_000_000, 12_000_000, (4, 64)
+#: Targets of one class whose gradients are computed side by side.
+BLOCK = 16
+#: Floats of weights and moments in a row, where they are averaged.
+SLICE = 1 << 14
 COUNT_BYTES = 12 << 20
 #: Bytes of text that are scored side by side.
 SIDE_BYTES = 3 << 20
@@ -134,62 +147,114 @@ class Network:
             h = after
         hs, target = np.concatenate(states), y.reshape(-1)
         group, slot, n = self.group[target], self.slot[target], len(target)
-        logits = hs @ w["vc"].T + w["bc"]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), group] -= 1
-        p /= n
+        p = hs @ w["vc"].T + w["bc"]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True) * n
+        p[np.arange(n), group] -= 1 / n
         g = {"vc": p.T @ hs, "bc": p.sum(axis=0), "vw": np.zeros_like(w["vw"]), "bw": np.zeros_like(w["bw"])}
         back = p @ w["vc"]
-        for j in np.unique(group):
-            own = np.flatnonzero(group == j)
-            q = hs[own] @ w["vw"][j].T + w["bw"][j]
-            q = np.exp(q - q.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(own)), slot[own]] -= 1
-            q /= n
-            g["vw"][j], g["bw"][j] = q.T @ hs[own], q.sum(axis=0)
-            back[own] += q @ w["vw"][j]
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(len(w["bc"]) + 1))
+        # targets of a class go in blocks of BLOCK rows, the last of a class filled up with zeros
+        counts = np.diff(cuts)
+        blocks = -(-counts // BLOCK)
+        owner = np.repeat(np.arange(len(blocks)), blocks)
+        firsts = np.concatenate([[0], np.cumsum(blocks)])
+        row = scan.spread(firsts[:-1] * BLOCK, counts)
+        total = len(owner) * BLOCK
+        block_hs = np.zeros((total, k), hs.dtype)
+        block_hs[row] = hs[order]
+        block_hs = block_hs.reshape(-1, BLOCK, k)
+        inside = w["vw"][owner]
+        q = block_hs @ inside.transpose(0, 2, 1)
+        q += w["bw"][owner][:, None]
+        q -= q.max(axis=2, keepdims=True)
+        np.exp(q, out=q)
+        weight = np.zeros(total, hs.dtype)
+        weight[row] = 1 / n
+        q *= weight.reshape(-1, BLOCK, 1) / q.sum(axis=2, keepdims=True)
+        q.reshape(total, -1)[row, slot[order]] -= 1 / n
+        some = np.flatnonzero(counts)
+        for j in some.tolist():
+            own = slice(firsts[j], firsts[j + 1])
+            g["vw"][j] = q[own].reshape(-1, self.width).T @ block_hs[own].reshape(-1, k)
+        g["bw"][some] = np.add.reduceat(q.sum(axis=1), firsts[some], axis=0)
+        back[order] += (q @ inside).reshape(total, k)[row]
         back = back.reshape(steps, lanes, k)
-        g["x"], g["u"], carry = np.zeros_like(w["x"]), np.zeros_like(w["u"]), np.zeros((lanes, k), np.float32)
-        g["b"] = np.zeros_like(w["b"])
+        carry, ut = np.zeros((lanes, k), hs.dtype), np.ascontiguousarray(w["u"].T)
+        das, dcs = np.empty((steps, lanes, 3 * k), hs.dtype), np.empty((steps, lanes, 3 * k), hs.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, new, c = trace[t]
             d = back[t] + carry
+            da, dc = das[t], dcs[t]
             dn = d * (1 - z) * (1 - new * new)
-            dz, dr = d * (before - new) * z * (1 - z), dn * c * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], axis=1)
-            dc = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(g["x"], x[t], da)
-            g["b"] += da.sum(axis=0)
-            g["u"] += before.T @ dc
-            carry = np.where(first[t][:, None], 0, d * z + dc @ w["u"].T)
+            da[:, :k], da[:, k : 2 * k], da[:, 2 * k :] = d * (before - new) * z * (1 - z), dn * c * r * (1 - r), dn
+            dc[:, : 2 * k], dc[:, 2 * k :] = da[:, : 2 * k], dn * r
+            carry = d * z + dc @ ut
+            carry[first[t]] = 0
+        da, items = das.reshape(-1, 3 * k), x.reshape(-1)
+        g["b"], g["u"], g["x"] = da.sum(axis=0), np.concatenate([m[0] for m in trace]).T @ dcs.reshape(-1, 3 * k), np.zeros_like(w["x"])
+        order = np.argsort(items, kind="stable")
+        starts = np.flatnonzero(np.diff(items[order], prepend=-1))
+        g["x"][items[order][starts]] = np.add.reduceat(da[order], starts, axis=0)
         return g, h
 
-    def train(self, texts: list[np.ndarray], steps: int = STEPS, epochs: int = EPOCHS, lanes: int = LANES, window: int = WINDOW) -> None:
-        """Truncated backpropagation (Adam) over texts of item numbers, each ended by END."""
-        if not texts:
-            return
-        stream = np.concatenate(texts)
-        lanes = max(1, min(lanes, len(stream) // (2 * window)))
-        stream = np.concatenate([[END], stream])[: (len(stream) // lanes) * lanes + 1]
-        x, y = stream[:-1].reshape(lanes, -1).T, stream[1:].reshape(lanes, -1).T
-        mean, square = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
-        done, total = 0, min(steps, epochs * (len(x) // window))
+    def pack(self) -> np.ndarray:
+        """All weights as one vector; `unpack` sets them from such a vector, as views of it."""
+        return np.concatenate([v.reshape(-1) for v in self.w.values()]).astype(np.float32)
+
+    def unpack(self, flat: np.ndarray) -> None:
+        at = 0
+        for name, v in self.w.items():
+            self.w[name] = flat[at : at + v.size].reshape(v.shape)
+            at += v.size
+
+    def train(self, texts: list[np.ndarray], lanes: int = LANES, window: int = WINDOW, square: np.ndarray | None = None, done: int = 0, span: tuple[float, float] = (0.0, 1.0)) -> tuple[np.ndarray, int]:
+        """One pass of truncated backpropagation (Adam) over texts of item numbers, each ended by END.
+
+        Every token is a target once. `square` are the second moments so far, of `done` steps; `span` is the part
+        of the whole training that the pass is. Gives the second moments and the steps.
+        """
+        flat = self.pack()
+        self.unpack(flat)
+        square = np.zeros_like(flat) if square is None else square.copy()
+        stream = np.concatenate([[END], *texts]).astype(np.int64)
+        size = len(stream) - 1
+        if not size:
+            return square, done
+        lanes = max(1, min(lanes, size // (2 * window)))
+        even = size // lanes * lanes
+        x, y = stream[:even].reshape(lanes, -1).T, stream[1 : even + 1].reshape(lanes, -1).T
+        cuts = [(x[a : a + window], y[a : a + window]) for a in range(0, len(x), window)]
+        if even < size:  # what is left over follows the last lane
+            cuts += [(stream[a : min(a + window, size), None], stream[a + 1 : min(a + window, size) + 1, None]) for a in range(even, size, window)]
+        mean, moved = np.zeros_like(flat), np.empty_like(flat)
         h = np.zeros((lanes, self.hidden), np.float32)
-        while done < total:
-            for a in range(0, len(x) - window + 1, window):
-                if done >= total:
-                    break
-                g, h = self._gradients(x[a : a + window], y[a : a + window], x[a : a + window] == END, h)
-                done += 1
-                norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                rate = 0.01 * min(1.0, done / 20) * (1 - 0.9 * done / total) * np.sqrt(1 - 0.999**done) / (1 - 0.9**done)
-                for name, v in g.items():
-                    v *= min(1.0, 1.0 / max(norm, 1e-9))
-                    mean[name] += 0.1 * (v - mean[name])
-                    square[name] += 0.001 * (v * v - square[name])
-                    self.w[name] -= (rate * mean[name] / (np.sqrt(square[name]) + 1e-8)).astype(np.float32)
+        for own, (inputs, targets) in enumerate(cuts):
+            h = h[-inputs.shape[1] :]
+            grads, h = self._gradients(inputs, targets, inputs == END, h)
+            g = np.concatenate([grads[name].reshape(-1) for name in self.w])
+            g *= min(1.0, 1.0 / max(float(np.sqrt(np.dot(g, g))), 1e-9)) * targets.size / (lanes * window)
+            done += 1
+            at = span[0] + (span[1] - span[0]) * (own + 1) / len(cuts)
+            rate = 0.01 * min(1.0, done / 20) * (1 - 0.9 * at) * np.sqrt(1 - 0.999**done) / (1 - 0.9 ** (own + 1))
+            for a in range(0, len(flat), SLICE):
+                b = slice(a, a + SLICE)
+                v, m, q, out = g[b], mean[b], square[b], moved[b]
+                np.multiply(v, v, out=out)
+                out -= q
+                out *= 0.001
+                q += out
+                v -= m
+                v *= 0.1
+                m += v
+                np.sqrt(q, out=out)
+                out += 1e-8
+                np.divide(m, out, out=out)
+                out *= rate
+                flat[b] -= out
+        return square, done
 
     def score(self, items: np.ndarray, offsets: np.ndarray, window: int = 16) -> np.ndarray:
         """log10 probability of each text of item numbers, END included, from an empty state."""
@@ -262,18 +327,59 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
         least = row["n"]
     head = words.filter(F.col("n") >= least).select("word", "n").toArrow()
     model = Model(head.column("word").to_numpy().astype(np.int64).view(np.uint64), head.column("n").to_numpy().astype(np.int64), n + texts, kinds + bool(texts), texts)
-    part = min(1_000_000, -(-1_000_000 * SAMPLE_TEXTS // max(texts, 1)))
-    shared = share(docs.sparkSession, model)
+    return model, words.select("word", "n")
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in scan.pieces(batch, "text"):
-                _, _, _, items, ends = opened(shared).items_of(piece.column("text"))
-                yield pa.RecordBatch.from_arrays([piece.column("hash"), pa.array([items[a:b].astype(np.uint16).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["hash", "items"])
 
-    rows = own.filter(F.pmod("hash", F.lit(1_000_000)) < part).mapInArrow(numbered, "hash long, items binary").collect()
-    model.network.train([np.frombuffer(items, np.uint16).astype(np.int64) for _, items in sorted((r["hash"], bytes(r["items"])) for r in rows)])
-    return model, words.select("word", "n")
+def learn(rows: DataFrame, model: Model) -> None:
+    """Fits the network's weights on all rows (hash, items): items of whole training texts, as bytes."""
+    network, tokens = model.network, model.tokens
+    rounds = 1 if tokens <= TASK_TOKENS else max(ROUNDS[0], min(ROUNDS[1], -(-tokens // ROUND_TOKENS)))
+    tasks = max(1, -(-tokens // (rounds * TASK_TOKENS)))
+    epochs = max(1, min(EPOCHS, STEPS * LANES * WINDOW // max(tokens, 1))) if rounds == 1 else 1
+    size = len(network.pack())
+    square, done, model.seen = np.zeros(size, np.float32), 0, 0
+    average = "slice int, tokens long, steps long, data binary"
+    for r in range(rounds):
+        shared = share(rows.sparkSession, (network, square, done))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
+            net, moments, steps = opened(shared)
+            net, moments = copy.copy(net), moments.copy()
+            net.w = dict(net.w)
+            seen, held, held_tokens, left = 0, [], 0, True
+            while left:
+                batch = next(batches, None)
+                left = batch is not None
+                if left:
+                    held += [np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column("items")]
+                    held_tokens = sum(len(x) for x in held)
+                if held and (held_tokens >= 2 * TASK_TOKENS or not left):
+                    for e in range(epochs):
+                        moments, steps = net.train(held, square=moments, done=steps, span=((r + e / epochs) / rounds, (r + (e + 1) / epochs) / rounds))
+                    seen, held, held_tokens = seen + held_tokens * epochs, [], 0
+            if seen:
+                both = np.concatenate([net.pack(), moments])
+                cuts = range(0, len(both), SLICE)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts)), pa.int32()), pa.array([seen] * len(cuts), pa.int64()), pa.array([steps] * len(cuts), pa.int64()), pa.array([both[a : a + SLICE].tobytes() for a in cuts], pa.binary())], ["slice", "tokens", "steps", "data"])
+
+        def averaged(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, tokens, steps, key = 0.0, 0, 0, 0
+            for batch in group:
+                for k, n, s, data in zip(*(batch.column(c).to_pylist() for c in ("slice", "tokens", "steps", "data")), strict=True):
+                    total, tokens, steps, key = total + np.frombuffer(data, np.float32).astype(float) * n, tokens + n, max(steps, s), k
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([tokens]), pa.array([steps]), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], ["slice", "tokens", "steps", "data"])
+
+        own = rows.filter(F.pmod("hash", F.lit(rounds)) == r) if rounds > 1 else rows
+        dealt = own.repartitionById(tasks, F.pmod(F.shiftrightunsigned("hash", 20), F.lit(tasks)).cast("int")).sortWithinPartitions("hash", "items").select("items")
+        parts = dealt.mapInArrow(run, average)
+        if tasks > 1:
+            parts = parts.groupBy("slice").applyInArrow(averaged, average)
+        found = sorted(parts.collect(), key=lambda x: x["slice"])
+        if found:
+            both = np.frombuffer(b"".join(bytes(x["data"]) for x in found), np.float32).copy()
+            network.unpack(both[:size])
+            square, done, model.seen = both[size:], max(x["steps"] for x in found), model.seen + found[0]["tokens"]
+        shared.unpersist()
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +387,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     model, words = fit(docs, id_col, text_col)
     shared = share(docs.sparkSession, model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened(shared)
         for batch in batches:
             for piece in scan.pieces(batch, "text", SIDE_BYTES):
@@ -292,7 +398,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 count = np.append(m.counts, 0)[place]
                 base = np.bincount(doc, np.where(known, m.base(count), 0), n) + m.base(np.array([m.texts]))[0]
                 rare = known & (m.item[place] == RARE)
-                score = m.network.score(items, ends) + np.bincount(doc[rare], np.log10((count[rare] + 1) / m.rare_total), n)
+                score = np.bincount(doc[rare], np.log10((count[rare] + 1) / m.rare_total), n).astype(float)
                 other = np.flatnonzero(~known)
                 pairs = np.lexsort((h[other], doc[other]))
                 d, x = doc[other][pairs], h[other][pairs]
@@ -302,19 +408,33 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 times = np.diff(np.append(first, len(d)))
                 cuts = np.searchsorted(d[first], np.arange(n + 1)).astype(np.int32)
                 rest = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(x[first].view(np.int64)), pa.array(times.astype(np.int64))], ["word", "times"]))
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("mark"), piece.column("held_out"), pa.array(np.diff(ends), pa.int64()), pa.array(np.bincount(doc, known, n).astype(np.int64) + (m.texts > 0)), pa.array(base), pa.array(score), rest], ["id", "mark", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("mark"), piece.column("hash"), piece.column("held_out"), pa.array(np.diff(ends), pa.int64()), pa.array(np.bincount(doc, known, n).astype(np.int64) + (m.texts > 0)), pa.array(base), pa.array(score), rest, pa.array([items[a:b].astype(np.uint16).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "mark", "hash", "held_out", "n_tokens", "n_known", "base", "score", "rest", "items"])
 
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(identity(id_col).alias("id"), F.xxhash64(text).alias("mark"), held_out(id_col).alias("held_out"), text.alias("text"))
-    scored = stored(rows.mapInArrow(run, "id long, mark long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word long, times long>>"), "scored")
-    rest = scored.select("id", "mark", F.explode("rest").alias("r")).select("id", "mark", "r.word", "r.times").distinct()
+    rows = docs.select(identity(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.xxhash64(F.col(f"`{id_col}`").cast("string"), text, F.lit(2)).alias("hash"), held_out(id_col).alias("held_out"), text.alias("text"))
+    numbers = stored(rows.mapInArrow(numbered, "id long, mark long, hash long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word long, times long>>, items binary"), "scored")
+    learn(numbers.filter(~F.col("held_out")).select("hash", "items"), model)
+    network = share(docs.sparkSession, model.network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in scan.pieces(batch, "items", SIDE_BYTES // 3):
+                texts = [np.frombuffer(x.as_buffer(), np.uint16) for x in piece.column("items")]
+                ends = np.cumsum([0, *map(len, texts)])
+                score = opened(network).score(np.concatenate(texts).astype(np.int64), ends)
+                columns = {c: piece.column(c) for c in piece.schema.names if c != "items"}
+                columns["score"] = pa.array(piece.column("score").to_numpy() + score)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    scored = numbers.drop("hash", "rest").mapInArrow(run, "id long, mark long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    rest = numbers.select("id", "mark", F.explode("rest").alias("r")).select("id", "mark", "r.word", "r.times").distinct()
     c = F.coalesce(F.col("n"), F.lit(0)) + 1
     more = merged(rest, words, "word", "left").groupBy("id", "mark").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(c / F.lit(float(model.tokens + model.kinds + 1)))).alias("base"), F.sum(F.col("times") * F.log10(c / F.lit(float(model.rare_total)))).alias("score"),
     )
     more = more.select("id", "mark", "known", F.col("base").alias("more_base"), F.col("score").alias("more_score"))
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    return merged(scored.drop("rest"), more, ["id", "mark"], "left").select(
+    return merged(scored, more, ["id", "mark"], "left").select(
         F.when(F.col("id") < NULL_ID, F.col("id")).alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"),
     )

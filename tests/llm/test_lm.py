@@ -68,3 +68,24 @@ def test_repeats_nulls_and_empty(spark):
     assert len({(x.base_score, x.score) for x in got if x.doc_id == 1}) == 1
     assert scores(df.limit(0)).count() == 0
     assert [x.train_tokens for x in scores(df.filter("doc_id = 99").union(spark.createDataFrame([(11, "x", 0)], df.schema))).collect()][0] in (0, 2)
+
+
+def test_training_reads_every_token_once():
+    r = np.random.default_rng(2)
+    texts = [np.append(r.integers(2, 7, r.integers(0, 90)), lm.END) for _ in range(61)]
+    net, seen = Network(np.ones(7), hidden=3, width=3), []
+    inner = net._gradients
+    net._gradients = lambda x, y, first, h: (seen.extend(zip(x.ravel().tolist(), y.ravel().tolist(), strict=True)), inner(x, y, first, h))[1]
+    net.train(texts, lanes=7, window=16)
+    stream = np.concatenate([[lm.END], *texts])
+    assert Counter(seen) == Counter(zip(stream[:-1].tolist(), stream[1:].tolist(), strict=True))
+
+
+def test_all_texts_are_trained_on_in_rounds_and_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TASK_TOKENS", 8000)
+    models, inner = [], lm.learn
+    monkeypatch.setattr(lm, "learn", lambda rows, model: (inner(rows, model), models.append(model)))
+    rows = [(k, " ".join(f"{a} {a}next" for a in np.random.default_rng(k).choice(list("abcdefgh"), 6))) for k in range(5000)]
+    got = scores(spark.createDataFrame(rows, "doc_id long, text string")).agg({"score": "sum", "base_score": "sum"}).first()
+    assert models[0].seen == models[0].tokens
+    assert got["sum(score)"] > 0.9 * got["sum(base_score)"]
