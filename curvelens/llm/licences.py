@@ -5,13 +5,22 @@ its whole text and, if it has several, its lines and its paragraphs. A segment m
 2 * |A & B| / (|A| + |B|) >= DICE, A and B being their sets of word bigrams; for each segment
 the best template counts (first name on ties).
 
+`op5_licence_scan` also finds a licence inside a longer text (`passages`): a window is a run of
+places of the whole text's bigrams, from one that a template has to another, of at most (2 - d) / d
+times the template's length. Its score is Dice, places without a bigram of the template
+counting one each and repeats of one not at all. The best window of each template counts, unless
+it overlaps one of another template that shares more bigrams (BSD-2-Clause lies in BSD-3-Clause).
+A licence that only windows find is one match more; segments' results stay as they are, and
+come first. The SQL has segments only.
+
 Plan: SQL functions only. Dice >= d bounds sizes: |A| lies between |B| * d / (2 - d) and
 |B| * (2 - d) / d, so a segment with too few or too many words for every template is dropped
 before bigrams are made, and templates are pruned for each segment by the same bounds in the
 join. Segments' distinct bigrams meet the templates' bigrams (a fixed list, a few thousand
 rows) in a broadcast join, which only shared bigrams survive; counting them gives the
 intersection. A licence line that a third of all documents share is a row per document in a
-group of its own: the grouping key is the segment.
+group of its own: the grouping key is the segment. Windows need no text: places of shared bigrams
+meet by text and template, and most are dropped as two thirds of a template must be there.
 
 Defined results. Null, empty and unmatched texts have no licence, 0 matches and score 0. Rows
 with one doc_id and one text are one document for counting and each get the result. A null
@@ -108,6 +117,53 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, dice:
     return best.select("id", "mark", "segment", "best.licence", "best.score")
 
 
+def passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, dice: float = DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, mark, passages): licence and score of the windows that count, in order of the text."""
+    low, high = size_bounds(dice)
+    lengths = [len(re.findall("[a-z0-9]+", t.lower())) - 1 for _, t in templates]
+    grams = template_rows(docs.sparkSession, templates).withColumn("span", (F.get(F.array(*map(F.lit, lengths)), F.col("template")) * high).cast("int")).withColumn("code", F.hash("bigram"))
+    text = F.col(f"`{text_col}`").cast("string")
+    words = F.array(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    pairs = F.get(F.transform(words, lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))), F.lit(0))
+    # repeated rows are one text
+    rows = docs.select(identity(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.posexplode(pairs).alias("pos", "bigram"))
+    hits = rows.join(F.broadcast(grams), "bigram").groupBy("id", "mark", "template", "licence", "size", "span").agg(F.array_sort(F.collect_set(F.struct("pos", "code"))).alias("hits"))
+    hits = hits.filter(F.size("hits") >= F.col("size") * low).filter(F.size(F.array_distinct("hits.code")) >= F.col("size") * low)
+
+    def best_from(start):
+        def step(state, hit):
+            seen = F.when(F.array_contains(state["seen"], hit["code"]), state["seen"]).otherwise(F.array_append(state["seen"], hit["code"]))
+            n, both = state["n"] + 1, F.size(seen)
+            own = both + (hit["pos"] - start["pos"] + 1 - n)
+            new = F.struct((2.0 * both / (own + F.col("size"))).alias("score"), both.alias("both"), start["pos"].alias("start"), hit["pos"].alias("end"))
+            return F.struct(seen.alias("seen"), n.alias("n"), F.greatest(state["best"], new).alias("best"))
+
+        zero = F.struct(F.array().cast("array<int>").alias("seen"), F.lit(0).alias("n"), F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("both"), F.lit(0).alias("start"), F.lit(0).alias("end")).alias("best"))
+        return F.aggregate(F.filter("hits", lambda h: (h["pos"] >= start["pos"]) & (h["pos"] < start["pos"] + F.col("span"))), zero, step, lambda state: state["best"])
+
+    found = hits.withColumn("best", F.array_max(F.transform("hits", best_from))).filter(F.col("best.score") >= dice)
+    item = F.struct("best.start", "best.end", F.struct("best.both", "best.score", (-F.col("template")).alias("minus")).alias("rank"), "licence")
+    own = found.groupBy("id", "mark").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    stays = lambda w: ~F.exists("all", lambda o: (o["start"] <= w["end"]) & (o["end"] >= w["start"]) & (o["rank"] > w["rank"]))
+    return own.select("id", "mark", F.transform(F.filter("all", stays), lambda w: F.struct(w["licence"].alias("licence"), w["rank"]["score"].alias("score"))).alias("passages"))
+
+
+def whole_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """As `scan`, with the licences that are only found inside a longer text."""
+    inside = passages(docs, id_col=id_col, text_col=text_col, **options)
+    found = matches(docs, id_col=id_col, text_col=text_col, **options)
+    names = inside.select("id", "mark", F.posexplode("passages").alias("at", "p")).select("id", "mark", "at", "p.licence", "p.score")
+    # of segments (inside false) and windows
+    both = found.select("id", "mark", F.lit(False).alias("inside"), F.col("segment").alias("at"), "licence", "score").unionByName(names.select("id", "mark", F.lit(True).alias("inside"), "at", "licence", "score"))
+    by_name = both.groupBy("id", "mark", "licence").agg(F.count_if(~F.col("inside")).alias("n"), F.min(F.struct("inside", (-F.col("score")).alias("minus"), "at")).alias("first"))
+    per_doc = by_name.groupBy("id", "mark").agg(
+        F.min_by("licence", "first").alias("licence"), F.min("first").getField("minus").alias("minus"), F.sum(F.greatest("n", F.lit(1))).alias("n_matches"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"),
+    )
+    rows = docs.select(identity(id_col).alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("mark"))
+    out = rows.join(per_doc, ["id", "mark"], "left")
+    return out.select(F.when(F.col("id") < NULL_ID, F.col("id")).alias("doc_id"), "licence", F.round(F.coalesce(-F.col("minus"), F.lit(0.0)), 6).alias("score"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("licences", F.lit("")).alias("licences"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row: doc_id, licence (of the best segment), score, n_matches, licences (all, sorted)."""
     found = matches(docs, id_col=id_col, text_col=text_col, **options)
@@ -120,7 +176,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return whole_scan(table(spark, sf_dir, "documents"))
 
 
 def _oracle() -> str:

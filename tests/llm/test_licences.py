@@ -1,7 +1,7 @@
 import random
 import re
 
-from curvelens.llm.licences import DICE, TEMPLATES, op5_licence_scan, scan
+from curvelens.llm.licences import DICE, TEMPLATES, op5_licence_scan, scan, whole_scan
 
 
 def grams(text):
@@ -51,3 +51,23 @@ def test_repeats_null_ids_and_empty(spark):
 def test_plan_is_native(spark, sf_dir):
     plan = op5_licence_scan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
+def test_licences_inside_longer_texts(spark):
+    notice = {n: t for n, t in TEMPLATES if n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0")}
+    disclaimer = "This software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed. In no event shall the copyright holder be liable for any direct, indirect or incidental damages. " * 3
+    header = lambda t: "/*\n" + "".join(f" * {' '.join(t.split()[i : i + 9])}\n" for i in range(0, len(t.split()), 9)) + " */\nint main() { return 0; }\n" * 40
+    rows = {
+        1: f"Copyright 2020 A. Person\n{notice['BSD-3-Clause']} {disclaimer}", 2: f"Copyright 2020 A. Person\n{notice['BSD-2-Clause']} {disclaimer}",
+        3: header(notice["MIT"]), 4: header(notice["GPL-3.0"] + " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."),
+        5: "The parser of this small project is licensed under the MIT License, as are its tests and most of the files.",
+        6: "Released under the MIT License.\n" + header(notice["GPL-3.0"]), 7: "of the work and the use of this and of the License " * 50, 8: None,
+    }
+    got = {x.doc_id: (x.licence, x.licences, x.n_matches) for x in whole_scan(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    one = lambda n: (n, n, 1)
+    assert got == {1: one("BSD-3-Clause"), 2: one("BSD-2-Clause"), 3: one("MIT"), 4: one("GPL-3.0"), 5: one("MIT"), 6: ("MIT", "GPL-3.0,MIT", 2), 7: (None, "", 0), 8: (None, "", 0)}
+
+
+def test_same_as_segments_where_licences_stand_alone(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert sorted(map(str, op5_licence_scan(spark, sf_dir).collect())) == sorted(map(str, scan(docs).collect()))
