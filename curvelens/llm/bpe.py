@@ -6,8 +6,9 @@ adjacent pair of pieces with the lowest rank, leftmost first, until no pair has
 Plan. (1) `merged_ids` folds the merges with Spark's higher-order functions over the byte
 array of a word; the ranks are a literal of maps, dealt by CRC-32 of the key so that a lookup
 reads a few entries. A fold costs tens of microseconds, so it runs on distinct words. (2) Words
-are counted over all documents; the HEAD most frequent, of LONGEST bytes at most, are folded
-once. That dictionary is bounded by these two numbers whatever the input and is broadcast.
+are counted over all documents; the HEAD most frequent, of LONGEST bytes at most, that occur
+twice or more are folded once. That dictionary is bounded by these two numbers whatever the input
+and is broadcast: HEAD * 36 bytes for words of four ids (19 MB).
 (3) One narrow pass cuts texts, looks words up, and names what is not in the dictionary; these
 words, distinct within a piece of a few megabytes, are folded in the same stage by the same
 expression, and a second pass puts the ids together. Texts and tokens are never shuffled, only
@@ -34,13 +35,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import in_small_batches, opened, share, table, written
+from curvelens.llm.common import in_small_batches, lean, named, opened, own, restored, share, stored, table, text_of, with_own
 
 #: Entries and bytes that bound the broadcast dictionary of frequent words.
-HEAD = 1 << 20
+HEAD = 1 << 19
 LONGEST = 48
 #: Bytes of text whose words are counted together before they are sent on.
-COUNT_BYTES = 12 << 20
+COUNT_BYTES = 8 << 20
 _BUCKETS = 8192
 _NO_RANK = (1 << 31) - 1
 
@@ -207,7 +208,7 @@ def _count_words(classes):
             return pa.RecordBatch.from_arrays([word, pa.array(np.bincount(back, n).astype(np.int64))], ["word", "n"])
 
         for batch in batches:
-            for piece in scan.pieces(batch, "__text"):
+            for piece in scan.pieces(batch, "text"):
                 buf, offsets = scan.text_bytes(piece.column(0))
                 starts, ends, _ = pattern_words(buf, offsets, kinds)
                 h = scan.span_hashes(buf, starts, ends)
@@ -221,7 +222,7 @@ def _count_words(classes):
         if held:
             yield flush()
 
-    return run
+    return lean(run)
 
 
 class Dictionary(scan.HashIndex):
@@ -245,14 +246,14 @@ def flat_lists(ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids.values.to_numpy(zero_copy_only=False).astype(np.int32), offsets[:-1], np.diff(offsets).astype(np.int32)
 
 
-def _look_up(classes, head):
+def _look_up(classes, head, texts: bool):
     """Per row the codes of its words: a place in the dictionary, or -1 - place in the piece's other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, known = classes.value, opened(head)
         for batch in batches:
-            for piece in scan.pieces(batch, "__text"):
-                buf, offsets = scan.text_bytes(piece.column("__text"))
+            for piece in scan.pieces(batch, "text"):
+                buf, offsets = scan.text_bytes(piece.column("text"))
                 starts, ends, docs = pattern_words(buf, offsets, kinds)
                 h = scan.span_hashes(buf, starts, ends)
                 code = known.find(h)
@@ -263,10 +264,11 @@ def _look_up(classes, head):
                 raw = data.tobytes()
                 other = [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 codes = pa.Array.from_buffers(pa.large_binary(), piece.num_rows, [None, pa.py_buffer((docs * 4).astype(np.int64)), pa.py_buffer(code.astype(np.int32))])
-                names = [x for x in piece.schema.names if x != "__text"]
-                yield pa.RecordBatch.from_arrays([*(piece.column(x) for x in names), codes.cast(pa.binary()), pa.array([other] + [None] * (piece.num_rows - 1), pa.list_(pa.binary()))], [*names, "__codes", "__other"])
+                columns = {"own": piece.column("own")} | ({"text": piece.column("text")} if texts else {})
+                columns |= {"codes": codes.cast(pa.binary()), "other": pa.array([other] + [None] * (piece.num_rows - 1), pa.list_(pa.binary()))}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return run
+    return lean(run)
 
 
 def _put_together(head, finish):
@@ -276,13 +278,13 @@ def _put_together(head, finish):
         known = opened(head)
         other = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32))
         for batch in batches:
-            cuts = np.flatnonzero(batch.column("__ids").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            cuts = np.flatnonzero(batch.column("ids").is_valid().to_numpy(zero_copy_only=False)).tolist()
             for a, b in zip(sorted({0, *cuts}), [*sorted({0, *cuts})[1:], batch.num_rows], strict=True):
                 piece = batch.slice(a, b - a)
                 if a in cuts:
-                    own = piece.column("__ids").slice(0, 1).flatten()
+                    own = piece.column("ids").slice(0, 1).flatten()
                     other = flat_lists(own) if len(own) else other
-                raw, offsets = scan.text_bytes(piece.column("__codes"))
+                raw, offsets = scan.text_bytes(piece.column("codes"))
                 code = np.frombuffer(raw.tobytes(), np.int32)
                 here = code >= 0
                 starts, counts = np.zeros(len(code), np.int64), np.zeros(len(code), np.int32)
@@ -294,15 +296,15 @@ def _put_together(head, finish):
                 ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[offsets // 4]
                 yield finish(piece, ids, ends)
 
-    return run
+    return lean(run)
 
 
 def _shared(docs: DataFrame, text_col: str, ranks: dict[bytes, int], head_words: int):
     """Character classes and the dictionary of frequent words, as broadcasts; the rank literal."""
     context, maps = docs.sparkSession.sparkContext, rank_literal(docs.sparkSession, ranks)
     classes = context.broadcast(char_classes())
-    texts = in_small_batches(docs).select(F.col(f"`{text_col}`").cast("string").alias("__text"))
-    counted = written(texts.mapInArrow(_count_words(classes), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    texts = in_small_batches(docs).select(text_of(text_col))
+    counted = stored(texts.mapInArrow(_count_words(classes), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "words")
     short = counted.filter(F.octet_length("word").between(1, LONGEST))
     # As many words for each count, the frequent first, until HEAD is full: the counts are few numbers below a cut.
     tally = short.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
@@ -314,31 +316,33 @@ def _shared(docs: DataFrame, text_col: str, ranks: dict[bytes, int], head_words:
         least = row["n"]
     spread_out = max(docs.sparkSession.sparkContext.defaultParallelism * 2, 8)
     frequent = short.filter(F.col("n") >= least).select("word").repartition(spread_out)
-    found = frequent.withColumn("__maps", maps).select("word", F.get(ids_of(F.array("word"), F.col("__maps")), F.lit(0)).alias("ids")).toArrow().combine_chunks()
+    found = frequent.withColumn("maps", maps).select("word", F.get(ids_of(F.array("word"), F.col("maps")), F.lit(0)).alias("ids")).toArrow().combine_chunks()
     words = pa.concat_arrays(found.column("word").chunks) if found.num_rows else pa.array([], pa.binary())
     ids = pa.concat_arrays(found.column("ids").chunks) if found.num_rows else pa.array([], pa.list_(pa.int32()))
     return classes, share(docs.sparkSession, Dictionary(words, ids)), maps
 
 
-def _encoded(docs: DataFrame, text_col: str, ranks: dict[bytes, int], head_words: int, keep: list[str], finish, schema: str) -> DataFrame:
+def _encoded(docs: DataFrame, text_col: str, ranks: dict[bytes, int], head_words: int, keep: list[str], texts: bool, finish, made: str) -> DataFrame:
+    """own, the text if asked for, and what finish makes of each piece's ids."""
     classes, head, maps = _shared(docs, text_col, ranks, head_words)
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    coded = rows.mapInArrow(_look_up(classes, head), f"{kinds}__codes binary, __other array<binary>")
-    folded = coded.withColumn("__maps", maps).select(*(F.col(f"`{c}`") for c in keep), "__codes", F.when(F.col("__other").isNotNull(), ids_of(F.col("__other"), F.col("__maps"))).alias("__ids"))
-    return folded.mapInArrow(_put_together(head, finish), schema)
+    also = "text string, " if texts else ""
+    rows = docs.select(own(keep), text_of(text_col))
+    coded = rows.mapInArrow(_look_up(classes, head, texts), with_own(docs, keep, f"{also}codes binary, other array<binary>"))
+    folded = coded.withColumn("maps", maps).select("own", *(["text"] if texts else []), "codes", F.when(F.col("other").isNotNull(), ids_of(F.col("other"), F.col("maps"))).alias("ids"))
+    return folded.mapInArrow(_put_together(head, finish), with_own(docs, keep, f"{also}{made}"))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "text", ids_col: str = "token_ids", head_words: int = HEAD) -> DataFrame:
     """The table with the ids of each text added (replaced, if the column is there)."""
-    keep = [c for c in docs.columns if c != ids_col]
+    keep = [c for c in docs.columns if c not in (ids_col, text_col)]
 
     def finish(piece: pa.RecordBatch, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-        return pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), lists], [*keep, ids_col])
+        return pa.RecordBatch.from_arrays([piece.column("own"), piece.column("text"), lists], ["own", "text", "token_ids"])
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return _encoded(docs, text_col, ranks, head_words, keep, finish, f"{kinds}`{ids_col}` array<int>")
+    out = _encoded(docs, text_col, ranks, head_words, keep, True, finish, "token_ids array<int>")
+    columns = [c for c in docs.columns if c != ids_col]
+    return out.select(*restored(docs, columns, **{text_col: F.col("text")}), F.col("token_ids").alias(ids_col))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", into: str = "decoded") -> DataFrame:
@@ -346,14 +350,14 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", i
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
-    ids = F.col(f"`{ids_col}`")
 
     def joined(n: Column) -> Column:
-        found = F.transform(ids, lambda i: F.nullif(F.get(n, i), F.lit("")))
+        found = F.transform(F.col("ids"), lambda i: F.nullif(F.get(n, i), F.lit("")))
         return F.when(~F.exists(found, lambda x: x.isNull()), F.unhex(F.array_join(found, "")))
 
-    named = df.withColumn("__pieces", _constant(df.sparkSession, pieces, "array<string>"))
-    return named.select(*(F.col(f"`{c}`") for c in df.columns if c != into), _let(F.col("__pieces"), joined).alias(into))
+    keep = [c for c in df.columns if c != into]
+    held = df.select(own(keep), named(ids_col).alias("ids")).withColumn("pieces", _constant(df.sparkSession, pieces, "array<string>"))
+    return held.select(*restored(df, keep), _let(F.col("pieces"), joined).alias(into))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD) -> DataFrame:
@@ -368,13 +372,13 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", te
         names, binary = shared.value
         shown, decoded = [], []
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            own = ids[a:b]
-            shown.append(hashlib.sha256(" ".join(names[own].tolist()).encode()).hexdigest())
-            decoded.append(hashlib.sha256(b"".join(binary[own].tolist())).hexdigest())
-        return pa.RecordBatch.from_arrays([piece.column("__own"), pa.array(np.diff(ends), pa.int64()), pa.array(shown), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            part = ids[a:b]
+            shown.append(hashlib.sha256(" ".join(names[part].tolist()).encode()).hexdigest())
+            decoded.append(hashlib.sha256(b"".join(binary[part].tolist())).hexdigest())
+        return pa.RecordBatch.from_arrays([piece.column("own"), pa.array(np.diff(ends), pa.int64()), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], ["own", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    own = docs.withColumn("__own", F.col(f"`{id_col}`").cast("long"))
-    return _encoded(own, text_col, ranks, head_words, ["__own"], finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = _encoded(docs, text_col, ranks, head_words, [id_col], False, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.select(F.col("own.c0").cast("long").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

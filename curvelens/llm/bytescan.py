@@ -8,6 +8,7 @@ text has no bytes. One text is never cut, so memory follows the longest text.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,6 +152,21 @@ def gather(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: int | Non
     return out, offsets
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs, all lowest bytes first, which later compression likes."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    return struct.pack("<IB", len(x), width) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unsqueezed(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """The numbers (uint64), and where the bytes after them begin."""
+    n, width = struct.unpack_from("<IB", data, at)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 5).reshape(width, n).T
+    return wide.reshape(-1).view("<u8"), at + 5 + n * width
+
+
 class HashIndex:
     """Places of 64-bit hashes among up to some millions of them; numpy arrays only."""
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Stands for a null doc_id inside an operator: after all others.
 NULL_ID = (1 << 63) - 1
@@ -20,16 +24,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def identity(column: str = "doc_id") -> Column:
     """The row's integer identity; null becomes the largest."""
-    return F.coalesce(F.col(f"`{column}`").cast("long"), F.lit(NULL_ID))
+    return F.coalesce(named(column).cast("long"), F.lit(NULL_ID))
+
+
+# Columns that an operator only passes on travel in one struct named `own`, whose fields have
+# neutral names: whatever a table's columns are called, none meets a column of the operator.
+
+
+def own(columns: list[str]) -> Column:
+    return F.struct(*([named(c).alias(f"c{i}") for i, c in enumerate(columns)] or [F.lit(0).alias("none")])).alias("own")
+
+
+def with_own(df: DataFrame, columns: list[str], ddl: str) -> StructType:
+    """The schema of `own` and then these columns."""
+    held = df.select(own(columns)).schema["own"]
+    return StructType([StructField("own", held.dataType, True), *_parse_datatype_string(ddl).fields])
+
+
+def restored(df: DataFrame, columns: list[str], **instead: Column) -> list[Column]:
+    """The columns of the table in their order: those in `own` as they were, others from `instead`."""
+    held = {c: F.col(f"own.c{i}") for i, c in enumerate(x for x in columns if x not in instead)}
+    return [(held[c] if c in held else instead[c].cast(df.schema[c].dataType)).alias(c) for c in columns]
+
+
+def text_of(column: str) -> Column:
+    return named(column).cast("string").alias("text")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, local mode), a temporary one of this process."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one of this process if Spark is local."""
     context = spark.sparkContext._jsc.sc()
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
         if not context.getCheckpointDir().isDefined():
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             own = tempfile.mkdtemp(prefix="curvelens-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
             spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -39,19 +74,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, computed once and read back from the shared folder: lineage ends there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def text_size(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of all texts."""
-    row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(f"`{column}`").cast("string"))), F.lit(0))).first()
+    row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(named(column).cast("string"))), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
 
@@ -68,11 +97,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def kinds_of(df: DataFrame, columns: list[str]) -> str:
-    """DDL of these columns, with a comma after each."""
-    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
-
-
 def place(value: Column, cuts: list[int]) -> Column:
     """How many cuts are below the value: a binary search as nested conditions."""
     if not cuts:
@@ -82,8 +106,8 @@ def place(value: Column, cuts: list[int]) -> Column:
 
 
 def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """A sort-merge join whatever the sizes: work stays in proportion to the input, and nothing is broadcast."""
-    return left.hint("merge").join(right, on, how)
+    """A join of two tables that grow with the input: a side is broadcast only if Spark measures it below its threshold."""
+    return left.join(right, on, how)
 
 
 def share(spark: SparkSession, value) -> Broadcast:
@@ -99,6 +123,23 @@ def opened(broadcast: Broadcast):
     return broadcast._opened
 
 
+def lean(run: Callable) -> Callable:
+    """The same Arrow pass or grouped function; what it freed goes back to the system when it ends, as workers live on."""
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return passes
+
+
 #: Rows of an Arrow batch where rows are whole texts: Spark's default of 10,000 makes batches of tens of megabytes.
 TEXT_ROWS = 1000
 

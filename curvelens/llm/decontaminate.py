@@ -12,8 +12,10 @@ block's hash name the windows to test. A test looks at the first block, then com
 words themselves. Documents are cut into stretches of cursor positions, and the cursors of
 all stretches of a piece move together as one numpy array.
 
-The items go to the executors in blocks of BLOCK_BYTES of text: their size is measured, and
-a larger benchmark is split by item over several passes in one chain of narrow stages.
+The items go to the executors in blocks of BLOCK_BYTES of text: their size is measured. A larger
+benchmark is split by item over several passes. Each searches the texts for one block and writes the
+documents with hits, by id and a hash of the text, before the next block is read, so one block is
+in memory at a time; texts are read again but never written, and only hits are shuffled.
 
 Defined results. Null and empty texts have no words; an item without words has no window; a
 null item_id hits words but isn't listed. Repeated items count once, repeated documents each
@@ -29,9 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import in_small_batches, table, text_size
+from curvelens.llm.common import in_small_batches, lean, merged, named, restored, stored, table, text_of, text_size
 
 WINDOW = 10
 #: Bytes of item text that one pass searches for.
@@ -117,14 +120,14 @@ def window_sets(items: list[tuple], window: int = WINDOW) -> list[WindowSet]:
     return [WindowSet(x, n) for n, x in sorted(by_length.items())]
 
 
-def _search(sets: list[WindowSet]):
-    """A pass that adds hit words (packed uint32) and items to __hits and __items."""
+def _search(sets: list[WindowSet], all_rows: bool, texts: bool):
+    """own, the text if asked for, n_words, hits and items; of all rows, or of those with hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, lower = scan.plain_words(), scan.lower_table()
         for batch in batches:
-            for piece in scan.pieces(batch, "__text"):
-                buf, offsets = scan.text_bytes(piece.column("__text"))
+            for piece in scan.pieces(batch, "text"):
+                buf, offsets = scan.text_bytes(piece.column("text"))
                 buf = lower[buf]
                 starts, ends, docs = scan.words(buf, offsets, table_)
                 hashes = scan.span_hashes(buf, starts, ends)
@@ -141,52 +144,66 @@ def _search(sets: list[WindowSet]):
                     np.add.at(edge, last + 1, -1)
                     for d, w in zip((np.searchsorted(docs, last, "right") - 1).tolist(), which.tolist(), strict=True):
                         listed.setdefault(d, set()).update(s.items[w])
-                hit = np.cumsum(edge[:-1]) > 0
-                old_hits, old_items = piece.column("__hits").to_pylist(), piece.column("__items").to_pylist()
-                hits, items = [], []
-                for d in range(piece.num_rows):
-                    now = np.flatnonzero(hit[docs[d] : docs[d + 1]]).astype(np.uint32)
-                    before = np.frombuffer(old_hits[d] or b"", np.uint32)
-                    hits.append(np.union1d(now, before).astype(np.uint32).tobytes())
-                    items.append(sorted({*(str(x) for x in listed.get(d, ()) if x is not None), *(old_items[d] or ())}))
-                names = [n for n in piece.schema.names if n not in ("__hits", "__items", "__n_words")]
-                yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), pa.array(np.diff(docs), pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], [*names, "__n_words", "__hits", "__items"])
-
-    return run
-
-
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items in blocks whose measured size is near block_bytes, one at a time on the driver."""
+                places = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                cuts = np.searchsorted(places, docs)
+                hits = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(places - np.repeat(docs[:-1], np.diff(cuts)), pa.int32()))
+                items = [sorted(str(x) for x in listed.get(d, ()) if x is not None) for d in range(piece.num_rows)]
+                columns = [piece.column("own"), *([piece.column("text")] if texts else []), pa.array(np.diff(docs), pa.int64()), hits, pa.array(items, pa.list_(pa.string()))]
+                out = pa.RecordBatch.from_arrays(columns, ["own", *(["text"] if texts else []), "n_words", "hits", "items"])
+                yield out if all_rows else out.filter(pa.array(np.diff(cuts) > 0))
+
+    return lean(run)
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list[tuple], bool]]:
+    """The items in blocks whose measured size is near block_bytes, one at a time on the driver; and whether there are several."""
     rows, size = text_size(benchmark, text_col)
     blocks = max(1, -(-max(size, 64 * rows) // block_bytes))
-    items = benchmark.select(F.col(f"`{id_col}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    items = benchmark.select(named(id_col).alias("item"), text_of(text_col))
     for k in range(blocks):
         part = items.filter(F.pmod(F.hash("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield [(x["item"], x["text"]) for x in part.collect()]
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all by default), __text, __n_words, __hits (packed uint32 word places) and __items."""
-    keep = docs.columns if keep is None else keep
-    out = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.lit(b"").alias("__hits"), F.array().cast("array<string>").alias("__items"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if not f.name.startswith("__") or f.name == "__text" or f.name in keep)
-    for block in item_blocks(benchmark, item_id_col, item_text_col, block_bytes):
-        out = out.mapInArrow(_search(window_sets(block, window)), f"{kinds}, __n_words long, __hits binary, __items array<string>")
-    return out
+        yield [(x["item"], x["text"]) for x in part.collect()], blocks > 1
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, texts: bool = True) -> DataFrame:
+    """own (a struct of the kept columns, by default all but the text), text if asked for, n_words, hits (places of hit words) and items."""
+    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    # hits follow from the text alone, so 128 bits of it name them
+    key = [F.xxhash64(text_of(text_col)).alias("a"), F.xxhash64(text_of(text_col), F.lit(7)).alias("b")]
+    fields = [named(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    kinds = "n_words long, hits array<int>, items array<string>"
+    out, parts = None, []
+    for block, several in item_blocks(benchmark, item_id_col, item_text_col, block_bytes):
+        sets = window_sets(block, window)
+        if out is None:
+            rows = in_small_batches(docs).select(F.struct(*fields, *(key if several or not fields else [])).alias("own"), text_of(text_col))
+            schema = StructType([rows.schema["own"], *_parse_datatype_string(f"{'text string, ' if texts else ''}{kinds}").fields])
+            out = rows.mapInArrow(_search(sets, True, texts), schema)
+        else:
+            found = docs.select(F.struct(*key).alias("own"), text_of(text_col)).mapInArrow(_search(sets, False, False), f"own struct<a: long, b: long>, {kinds}")
+            parts.append(stored(found.select("own.a", "own.b", "hits", "items").distinct(), "hits"))
+    if not parts:
+        return out
+    more = parts[0]
+    for part in parts[1:]:
+        more = more.unionByName(part)
+    more = more.groupBy("a", "b").agg(F.flatten(F.collect_list("hits")).alias("more_hits"), F.flatten(F.collect_list("items")).alias("more_items"))
+    both = merged(out.withColumn("a", F.col("own.a")).withColumn("b", F.col("own.b")), more, ["a", "b"], "left")
+    united = lambda x, y: F.array_sort(F.array_distinct(F.when(F.col(y).isNull(), F.col(x)).otherwise(F.concat(x, y)))).alias(x)
+    return both.select("own", *(["text"] if texts else []), "n_words", united("hits", "more_hits"), united("items", "more_items"))
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    found = hits(docs.withColumn("__own", F.col(f"`{id_col}`").cast("long")), benchmark, keep=["__own"], **options)
-    n_hit = (F.octet_length("__hits") / 4).cast("long")
+    found = hits(docs, benchmark, keep=[id_col], texts=False, **options)
     return found.select(
-        F.col("__own").alias("doc_id"), F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.col("own.c0").cast("long").alias("doc_id"), "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents in which no word is hit, unchanged."""
-    return hits(docs, benchmark, **options).filter(F.octet_length("__hits") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return hits(docs, benchmark, text_col=text_col, **options).filter(F.size("hits") == 0).select(*restored(docs, docs.columns, **{text_col: F.col("text")}))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import in_small_batches, kinds_of, table
+from curvelens.llm.common import in_small_batches, lean, named, own, restored, table, text_of, with_own
 
 WIDTH = 192
 
@@ -233,29 +233,37 @@ def media_in(blob: bytes | None, magic) -> list[Medium]:
     return found
 
 
-def sniff(df: DataFrame, blob_col: str, declared_col: str | None = None) -> DataFrame:
-    """Adds __type (from the bytes, else as declared) and __media, an array of (kind, offset, length)."""
-    columns = df.columns
+def _sniffed(df: DataFrame, blob_col: str, declared_col: str | None) -> DataFrame:
+    """own (a struct of the other columns), blob, kind (from the bytes, else as declared) and media."""
+    others = [c for c in df.columns if c != blob_col]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         magic = automaton()
         for batch in batches:
-            for piece in scan.pieces(batch, blob_col):
-                media = [media_in(x, magic) for x in piece.column(blob_col).to_pylist()]
-                declared = piece.column(declared_col).to_pylist() if declared_col else [None] * len(media)
-                types = [m[0].kind if m and m[0].offset == 0 else d for m, d in zip(media, declared, strict=True)]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(types, pa.string()), pa.array([[x._asdict() for x in m] for m in media], kind)], [*columns, "__type", "__media"])
+            for piece in scan.pieces(batch, "blob"):
+                media = [media_in(x, magic) for x in piece.column("blob").to_pylist()]
+                types = [m[0].kind if m and m[0].offset == 0 else d for m, d in zip(media, piece.column("declared").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column("own"), piece.column("blob"), pa.array(types, pa.string()), pa.array([[x._asdict() for x in m] for m in media], kind)], ["own", "blob", "kind", "media"])
 
-    return df.mapInArrow(run, f"{kinds_of(df, columns)}__type string, __media array<struct<kind string, offset long, length long>>")
+    rows = df.select(own(others), named(blob_col).cast("binary").alias("blob"), (named(declared_col) if declared_col else F.lit(None)).cast("string").alias("declared"))
+    return rows.mapInArrow(lean(run), with_own(df, others, "blob binary, kind string, media array<struct<kind: string, offset: long, length: long>>"))
+
+
+def sniff(df: DataFrame, blob_col: str, declared_col: str | None = None, type_col: str = "__type", media_col: str = "__media") -> DataFrame:
+    """Adds (or replaces) the type, from the bytes, else as declared, and an array of (kind, offset, length) of the media."""
+    keep = [c for c in df.columns if c not in (type_col, media_col)]
+    found = _sniffed(df, blob_col, declared_col)
+    back = dict(zip(df.columns, restored(df, df.columns, **{blob_col: F.col("blob")}), strict=True))
+    return found.select(*(back[c] for c in keep), F.col("kind").alias(type_col), F.col("media").alias(media_col))
 
 
 def carve(df: DataFrame, blob_col: str) -> DataFrame:
-    """A row for each medium of each value: the other columns, kind, offset, length and the bytes as medium."""
-    rows = sniff(df, blob_col)
-    others = [F.col(f"`{c}`") for c in df.columns if c != blob_col and c not in ("kind", "offset", "length", "medium")]
-    one = rows.select(*others, F.col(f"`{blob_col}`").alias("__blob"), F.explode("__media").alias("__m"))
-    return one.select(*others, "__m.kind", "__m.offset", "__m.length", F.expr("substring(__blob, int(__m.offset + 1), int(__m.length))").alias("medium"))
+    """A row for each medium of each value: the other columns (but for those of the names that follow), kind, offset, length and the bytes as medium."""
+    rows = _sniffed(df, blob_col, None).select("own", "blob", F.explode("media").alias("m"))
+    others = [c for c in df.columns if c != blob_col]
+    keep = [x for c, x in zip(others, restored(df, others), strict=True) if c not in ("kind", "offset", "length", "medium")]
+    return rows.select(*keep, "m.kind", "m.offset", "m.length", F.expr("substring(blob, int(m.offset + 1), int(m.length))").alias("medium"))
 
 
 # --- 8-bit samples ---
@@ -307,14 +315,14 @@ def store(payload: bytes) -> tuple[bytes, str]:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = in_small_batches(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = in_small_batches(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text"))
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in scan.pieces(batch, "text"):
                 texts = [(x or "").encode() for x in piece.column("text").to_pylist()]
                 media = [store(t + b" " * (-len(t) % WIDTH if t else WIDTH)) for t in texts]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([m for m, _ in media], pa.binary()), pa.array([d for _, d in media])], ["doc_id", "n_bytes", "blob", "declared"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([m for m, _ in media], pa.binary()), pa.array([d for _, d in media], pa.string())], ["doc_id", "n_bytes", "blob", "declared"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,7 +336,8 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out["media_bytes"].append(len(carved))
                 out["media_sha256"].append(hashlib.sha256(carved).hexdigest())
                 out["feature"].append(f"{kind};declared={declared};{'kept' if kind == declared else 'corrected'};offset={media[0]['offset']};media={len(media)};rows={len(payload) // WIDTH}")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(out["payload_bytes"], pa.int64()), pa.array(out["payload_sha256"], pa.string()), pa.array(out["tail_crc32"], pa.int64()), pa.array(out["media_bytes"], pa.int64()), pa.array(out["media_sha256"], pa.string()), pa.array(out["feature"], pa.string())], ["doc_id", "n_bytes", *out])
+            kinds = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64()}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(v, kinds.get(k, pa.string())) for k, v in out.items())], ["doc_id", "n_bytes", *out])
 
-    blobs = docs.mapInArrow(stored, "doc_id long, n_bytes long, blob binary, declared string")
-    return sniff(blobs, "blob", "declared").mapInArrow(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    blobs = docs.mapInArrow(lean(stored), "doc_id long, n_bytes long, blob binary, declared string")
+    return sniff(blobs, "blob", "declared").mapInArrow(lean(features), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

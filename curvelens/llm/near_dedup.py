@@ -9,14 +9,14 @@ Plan. (1) One pass computes sets, a 128-bit key of each set, and 128 minima of i
 are one node from here on, so thousands of copies cost one. (2) The forest: TREES orders of
 the nodes, each sorted by DEPTH of the minima, dealt by range, so an order of any size and a
 region of any size spread over tasks. Neighbours in an order with a long enough common prefix
-are candidates; the length asked for grows with the size of the region (nodes that agree in
-the first minimum), as chance neighbours are many there. (3) In each region all nodes are also
+are candidates, over the edges of batches and tasks too; the length asked for grows with the size of
+the region (nodes that agree in the first minimum), as chance neighbours are many there. (3) In each region all nodes are also
 compared with its centre, the node whose regions are largest: groups of near copies are stars
 about a text they were made from, and neighbours alone would miss its links. Candidates that
 few minima support are left. (4) Candidates with one centre are a family. A task confirms links
 of a block of a family on the full sets: everyone with the centre, and those that are not
-linked to it with all others. A family of more than BLOCK nodes is dealt over several blocks
-that each get the centre; those not linked to it then visit the other blocks.
+linked to it with all others. A family of more than BLOCK nodes or BLOCK_SHINGLES shingles is dealt
+over several blocks that each get the centre; those not linked to it then visit the other blocks.
 (5) Components, by stars, in Spark.
 
 Sets hold 64-bit hashes of shingles. Nothing is collected to the driver.
@@ -33,11 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import NULL_ID, identity, in_small_batches, kinds_of, merged, stored, table
+from curvelens.llm.common import NULL_ID, identity, in_small_batches, lean, merged, own, restored, stored, table, text_of, with_own
 from curvelens.llm.components import components
 
 SHINGLE = 5
@@ -48,8 +49,8 @@ DEPTH = 4
 #: Least share of equal minima: with a region's centre, so that two nodes linked to each other
 #: and one of them to the centre meet in its family (similarity 0.5 less the error), and with a neighbour.
 CENTRE_SHARE, NEIGHBOUR_SHARE = 0.38, 0.58
-#: Nodes of a family that meet in one task.
-BLOCK = 4096
+#: Nodes, and shingles of all their sets, of a family that meet in one task.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 _MINIMA = TREES * DEPTH
 
 
@@ -75,13 +76,13 @@ def _factors() -> tuple[np.ndarray, np.ndarray]:
     return seed[:_MINIMA] | np.uint64(1), seed[_MINIMA:]
 
 
-def _signatures(keep: list[str], width: int):
+def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multiply, add = _factors()
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for piece in scan.pieces(batch, "__text"):
-                column = piece.column("__text")
+            for piece in scan.pieces(batch, "text"):
+                column = piece.column("text")
                 flat, offsets, _ = shingle_sets(column, width)
                 sizes = np.diff(offsets)
                 full = np.flatnonzero(sizes)
@@ -94,31 +95,62 @@ def _signatures(keep: list[str], width: int):
                     keys[i] = hashlib.blake2b(flat[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).digest()
                     signs[i] = minima[k].tobytes()
                 packed = [None if x is None else pack.compress(x.encode()) for x in column.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), piece.column("__id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), pa.array(packed, pa.binary())], [*keep, "__id", "__n", "__key", "__sign", "__packed"])
+                yield pa.RecordBatch.from_arrays([piece.column("own"), piece.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), pa.array(packed, pa.binary())], ["own", "id", "n", "key", "sign", "packed"])
 
-    return run
+    return lean(run)
+
+
+_PLACES = "region long, node long, beside long, common int, edge int, prefix binary"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one stretch of an order: each node's region, and the next node if their prefix is long enough."""
+    """Of one stretch of an order: each node with its region, the node after it and the length of their common prefix.
+
+    Nodes alone in their region are left out. The first and the last row of the stretch come again with `edge`
+    (even and odd numbers in the order of stretches) and their prefix, as their other neighbours are elsewhere.
+    """
+    part = TaskContext.get().partitionId()
+    held = None
+
+    def rows(region, node, beside, common) -> pa.RecordBatch:
+        n = len(node)
+        return pa.RecordBatch.from_arrays([pa.array(region), pa.array(node), pa.array(beside), pa.array(common, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["region", "node", "beside", "common", "edge", "prefix"])
+
+    def edge(number: int, tree: int, key: np.ndarray, node: int) -> pa.RecordBatch:
+        region = (int(tree) << 32) | int(key[0])
+        return pa.RecordBatch.from_arrays([pa.array([region]), pa.array([int(node)]), pa.array([-1]), pa.array([0], pa.int32()), pa.array([number], pa.int32()), pa.array([key.astype(">u4").tobytes()], pa.binary())], ["region", "node", "beside", "common", "edge", "prefix"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, _ = scan.text_bytes(batch.column("prefix"))
-        keys = keys.reshape(-1, 4 * DEPTH).copy().view(">u4").reshape(-1, DEPTH)
+        keys = keys.reshape(-1, 4 * DEPTH).copy().view(">u4").reshape(-1, DEPTH).astype(np.uint32)
         tree, node = batch.column("tree").to_numpy().astype(np.int64), batch.column("node").to_numpy()
+        if held is None:
+            yield edge(2 * part, tree[0], keys[0], node[0])
+            shared = True  # with what may come before this stretch
+        else:
+            keys, tree, node, shared = np.concatenate([held[0], keys]), np.concatenate([held[1], tree]), np.concatenate([held[2], node]), held[3]
         same = np.logical_and.accumulate(keys[1:] == keys[:-1], axis=1) & (tree[1:] == tree[:-1])[:, None]
-        common = np.concatenate([same.sum(axis=1), [0]])
-        head = np.ones(len(node), bool)
-        head[1:] = common[:-1] == 0
-        size = np.diff(np.append(np.flatnonzero(head), len(node)))[np.cumsum(head) - 1]
-        asked = np.clip(1 + np.ceil(np.log(np.maximum(size, 1) / 8) / np.log(4 / 3)), 1, DEPTH)
-        beside = np.where((common >= asked) & (common > 0), np.append(node[1:], -1), -1)
-        # a region may go on beyond the ends of this stretch
-        here = size > 1
-        here[0] = here[-1] = True
+        common = same.sum(axis=1)
+        before = np.concatenate([[shared], common > 0])
+        here = np.flatnonzero(before[:-1] | (common > 0))
         region = (tree << 32) | keys[:, 0].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(region[here]), pa.array(node[here]), pa.array(beside[here])], ["region", "node", "beside"])
+        yield rows(region[here], node[here], np.where(common > 0, node[1:], -1)[here], common[here])
+        held = keys[-1:], tree[-1:], node[-1:], bool(before[-1])
+    if held is not None:
+        keys, tree, node, _ = held
+        yield rows((tree << 32) | keys[:, 0].astype(np.int64), node, np.array([-1]), np.array([0]))
+        yield edge(2 * part + 1, tree[0], keys[0], node[0])
+
+
+def _over_edges(edges: DataFrame) -> DataFrame:
+    """The last node of each stretch with the first of the next one that has rows: two rows a task."""
+    ahead = Window.orderBy("edge")
+    after = {c: F.lead(c).over(ahead) for c in ("region", "node", "prefix")}
+    pairs = edges.select("edge", "region", "node", "prefix", *(x.alias(f"next_{c}") for c, x in after.items())).filter("edge % 2 = 1 and next_region = region")
+    parts = [F.when(F.substring("prefix", 1, 4 * k) == F.substring("next_prefix", 1, 4 * k), 1).otherwise(0) for k in range(1, DEPTH + 1)]
+    return pairs.select("region", "node", F.col("next_node").alias("beside"), sum(parts[1:], parts[0]).alias("common"))
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +162,25 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("centre"), batch.column("star"), pa.array((equal - 1 / 256) / (1 - 1 / 256))], ["node", "centre", "star", "share"])
 
 
-def _open(packed: pa.ChunkedArray) -> pa.Array:
+def _open_sets(packed: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of compressed texts and their offsets, about a piece of texts at a time."""
     open_ = zstandard.ZstdDecompressor()
-    return pa.array([open_.decompress(x) for x in packed.to_pylist()], pa.large_binary())
+    flat, sizes, held, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], 0
+
+    def flush() -> None:
+        own, offsets, _ = shingle_sets(pa.array(held, pa.large_binary()), width)
+        flat.append(own)
+        sizes.append(np.diff(offsets))
+
+    for batch in packed.chunks:
+        for x in batch:
+            held.append(open_.decompress(x.as_buffer()))
+            size += len(held[-1])
+            if size >= scan.PIECE_BYTES:
+                flush()
+                held, size = [], 0
+    flush()
+    return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 def _roots(n: int):
@@ -160,7 +208,7 @@ def _confirm(group: pa.Table, percent: int, width: int) -> pa.Table:
     order = np.argsort(group.column("kind").to_numpy(), kind="stable")
     group = group.take(pa.array(order))
     node, kind = group.column("node").to_numpy(), group.column("kind").to_numpy()
-    flat, offsets, _ = shingle_sets(_open(group.column("packed")), width)
+    flat, offsets = _open_sets(group.column("packed"), width)
     sizes = np.diff(offsets)
     _, ids = np.unique(flat, return_inverse=True)
     here = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
@@ -199,22 +247,27 @@ def _confirm(group: pa.Table, percent: int, width: int) -> pa.Table:
 
 def _links(rows: DataFrame, nodes: DataFrame, percent: int, width: int, block: int) -> DataFrame:
     """Edges (a, b) between nodes, enough to connect whatever links connect."""
-    signs = nodes.select("node", "__sign")
-    trees = signs.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "__sign").select("tree", F.substring("__sign", F.col("tree") * 4 * DEPTH + 1, F.lit(4 * DEPTH)).alias("prefix"), "node")
+    signs = nodes.select("node", "sign")
+    trees = signs.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sign").select("tree", F.substring("sign", F.col("tree") * 4 * DEPTH + 1, F.lit(4 * DEPTH)).alias("prefix"), "node")
     ordered = trees.repartitionByRange("tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
-    places = stored(ordered.mapInArrow(_neighbours, "region long, node long, beside long"), "places")
+    found = stored(ordered.mapInArrow(lean(_neighbours), _PLACES), "places")
+    places = found.filter("edge is null").select("region", "node", "beside", "common")
 
     sizes = places.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    weight = merged(places, sizes, "region").groupBy("node").agg(F.sum("size").alias("weight"))
-    weighed = merged(places.select("region", "node"), weight, "node")
+    members = stored(merged(places, sizes, "region"), "regions")
+    asked = F.least(F.greatest(1 + F.ceil(F.log(F.col("size") / 8) / F.log(F.lit(4 / 3))), F.lit(1)), F.lit(DEPTH))
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = merged(members.select("region", "node"), weight, "node")
     centres = weighed.groupBy("region").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")).select("region", (-F.col("top.minus")).alias("centre"))
-    star = merged(places.select("region", "node"), centres, "region").filter("node <> centre").select("node", "centre", F.lit(True).alias("star"))
-    beside = places.filter("beside >= 0").select(F.greatest("node", "beside").alias("node"), F.least("node", "beside").alias("centre"), F.lit(False).alias("star"))
+    star = merged(members.select("region", "node"), centres, "region").filter("node <> centre").select("node", "centre", F.lit(True).alias("star"))
+    over = merged(_over_edges(found.filter("edge is not null")), sizes, "region")
+    beside = members.filter("beside >= 0").unionByName(over).filter((F.col("common") > 0) & (F.col("common") >= asked))
+    beside = beside.select(F.greatest("node", "beside").alias("node"), F.least("node", "beside").alias("centre"), F.lit(False).alias("star"))
     pairs = star.unionByName(beside).groupBy("node", "centre").agg(F.max("star").alias("star"))
     # one byte of each minimum is enough to tell near from far
-    short = stored(signs.mapInArrow(_bytes_of_minima, "node long, sign binary"), "signs")
+    short = stored(signs.mapInArrow(lean(_bytes_of_minima), "node long, sign binary"), "signs")
     pairs = merged(merged(pairs, short.select("node", F.col("sign").alias("left")), "node"), short.select(F.col("node").alias("centre"), F.col("sign").alias("right")), "centre")
-    pairs = stored(pairs.mapInArrow(_shares, "node long, centre long, star boolean, share double"), "pairs")
+    pairs = stored(pairs.mapInArrow(lean(_shares), "node long, centre long, star boolean, share double"), "pairs")
 
     stars = pairs.filter(F.col("star") & (F.col("share") >= CENTRE_SHARE))
     main = stars.groupBy("node").agg(F.max_by("centre", F.struct("share", (-F.col("centre")).alias("minus"))).alias("main"))
@@ -224,10 +277,11 @@ def _links(rows: DataFrame, nodes: DataFrame, percent: int, width: int, block: i
     loose = loose.filter(~(F.coalesce(F.col("main"), F.col("node")) == F.coalesce(F.col("other"), F.col("centre"))))
     families = stored(stars.select("centre", "node").union(loose.select("centre", "node")).distinct(), "families")
 
-    blocks = families.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sized = merged(families, nodes.select("node", "n"), "node")
+    blocks = sized.groupBy("centre").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = merged(families, blocks, "centre").select("centre", "node", "blocks", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), F.lit(1).alias("kind"))
     heads = blocks.select("centre", F.col("centre").alias("node"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"))
-    texts = rows.select(F.col("__row").alias("node"), F.col("__packed").alias("packed"))
+    texts = rows.select(F.col("row").alias("node"), "packed")
     confirm = lambda group: _confirm(group, percent, width)
     seats = members.unionByName(heads)
     first = merged(seats, texts, "node").select("centre", "block", "node", "kind", "packed")
@@ -245,47 +299,46 @@ def _links(rows: DataFrame, nodes: DataFrame, percent: int, width: int, block: i
 def _bytes_of_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            last = scan.text_bytes(batch.column("__sign"))[0].reshape(batch.num_rows, -1)[:, 3::4].copy()
+            last = scan.text_bytes(batch.column("sign"))[0].reshape(batch.num_rows, -1)[:, 3::4].copy()
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in last], pa.binary())], ["node", "sign"])
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, percent: int = PERCENT, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """The kept columns (all by default but the text), __id, __n (set size), __packed (the text, compressed), __lead (smallest __id of the group) and __kept."""
+    """own (a struct of the kept columns, by default all but the text), id, n (set size), packed (the text, compressed), lead (smallest id of the group) and kept."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    side = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), identity(id_col).alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    signed = side.mapInArrow(_signatures(keep, width), f"{kinds_of(docs, keep)}__id long, __n long, __key binary, __sign binary, __packed binary")
-    rows = stored(signed.withColumn("__row", F.monotonically_increasing_id()), "signed")
+    side = in_small_batches(docs).select(own(keep), identity(id_col).alias("id"), text_of(text_col))
+    signed = side.mapInArrow(_signatures(width), with_own(docs, keep, "id long, n long, key binary, sign binary, packed binary"))
+    rows = stored(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
 
-    first = rows.filter("__key is not null").groupBy("__key").agg(F.min(F.struct("__id", "__row")).alias("first"))
-    first = stored(first.select("__key", F.col("first.__id").alias("first_id"), F.col("first.__row").alias("node")), "nodes")
-    nodes = merged(first.select("node"), rows.select(F.col("__row").alias("node"), "__sign"), "node")
+    first = rows.filter("key is not null").groupBy("key").agg(F.min(F.struct("id", "row")).alias("first"))
+    first = stored(first.select("key", F.col("first.id").alias("first_id"), F.col("first.row").alias("node")), "nodes")
+    nodes = merged(first.select("node"), rows.select(F.col("row").alias("node"), "sign", "n"), "node")
     linked = components(_links(rows, nodes, percent, width, block))
     label = merged(first, linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = label.groupBy("component").agg(F.min(F.struct("first_id", "node")).alias("lead"))
-    label = merged(label, lead, "component").select("__key", F.col("lead.first_id").alias("__lead"), F.col("lead.node").alias("__lead_row"))
-    out = merged(rows, label, "__key", "left")
-    return out.select(*(F.col(f"`{c}`") for c in keep), "__id", "__n", "__packed", F.coalesce("__lead", "__id").alias("__lead"), (F.coalesce("__lead_row", "__row") == F.col("__row")).alias("__kept"))
+    label = merged(label, lead, "component").select("key", F.col("lead.first_id").alias("lead"), F.col("lead.node").alias("lead_row"))
+    out = merged(rows, label, "key", "left")
+    return out.select("own", "id", "n", "packed", F.coalesce("lead", "id").alias("lead"), (F.coalesce("lead_row", "row") == F.col("row")).alias("kept"))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
-    own = docs.withColumn("__own", F.col(f"`{id_col}`").cast("long"))
-    found = groups(own, id_col, keep=["__own"], **options)
-    return found.select(F.col("__own").alias("doc_id"), F.col("__n").alias("n_shingles"), F.when(F.col("__lead") < NULL_ID, F.col("__lead")).alias("component_id"), F.col("__kept").alias("kept"))
+    found = groups(docs, id_col, keep=[id_col], **options)
+    return found.select(F.col("own.c0").cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("lead") < NULL_ID, F.col("lead")).alias("component_id"), "kept")
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    open_ = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts = [None if x is None else open_.decompress(x).decode() for x in batch.column("packed").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(texts, pa.string())], ["own", "text"])
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The row with the smallest doc_id of each group; documents without words stay."""
     others = [c for c in docs.columns if c != text_col]
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
-        for batch in batches:
-            texts = [None if x is None else open_.decompress(x).decode() for x in batch.column("__packed").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], [*others, text_col])
-
-    kept = groups(docs, id_col, text_col, **options).filter("__kept").select(*(F.col(f"`{c}`") for c in others), "__packed")
-    return kept.mapInArrow(unpack, f"{kinds_of(docs, others)}`{text_col}` string").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = groups(docs, id_col, text_col, **options).filter("kept").select("own", "packed")
+    return kept.mapInArrow(lean(_unpack), with_own(docs, others, "text string")).select(*restored(docs, docs.columns, **{text_col: F.col("text")}))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
