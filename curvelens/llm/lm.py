@@ -2,7 +2,7 @@
 
 Text is lower-cased (A-Z only); tokens are words [^\\x20\\x09-\\x0D]+ and one end.
 
-The model. A GRU of HIDDEN units reads a text from its first word to its last; its state is
+The model. A GRU of HIDDEN units reads a text from its first word to its last, each item as a vector of HIDDEN numbers; its state is
 carried across windows, so the score is the log-likelihood of the complete text. The next
 token is predicted in two steps, its class and its place in the class: items are dealt by
 frequency into classes of WIDTH. Items are the end, the MODEL_WORDS most frequent words, and
@@ -42,27 +42,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import NULL_ID, identity, in_small_batches, merged, opened, share, stored, table
+from curvelens.llm.common import NULL_ID, identity, in_small_batches, lean, merged, named, opened, share, stored, table
 
-HEAD = 1 << 20
-MODEL_WORDS, WIDTH, HIDDEN = 4094, 64, 24
+HEAD = 1 << 19
+MODEL_WORDS, WIDTH, HIDDEN = 4094, 64, 16
 #: A corpus of one task is read again, at most EPOCHS times in all, until about STEPS windows were seen.
 STEPS, EPOCHS = 700, 3
-LANES, WINDOW = 96, 16
+LANES, WINDOW = 384, 16
+#: Windows of a pass at least, with fewer lanes where texts are few.
+LEAST = 40
 #: Training tokens of a task and of a round, about; rounds of a corpus of several tasks, least and most.
 TASK_TOKENS, ROUND_TOKENS, ROUNDS = 1_000_000, 12_000_000, (4, 64)
-#: Targets of one class whose gradients are computed side by side.
-BLOCK = 16
 #: Floats of weights and moments in a row, where they are averaged.
 SLICE = 1 << 14
 COUNT_BYTES = 12 << 20
-#: Bytes of text that are scored side by side.
-SIDE_BYTES = 3 << 20
+#: Bytes of text that are numbered together, and of item numbers that are scored side by side (a long text is less of a tail then).
+NUMBER_BYTES, SIDE_BYTES = 3 << 20, 6 << 20
+#: Tokens whose outputs are computed at a time.
+SIDE_ROWS = 1 << 15
 END, RARE = 0, 1
 
 
 def held_out(id_col: str) -> Column:
-    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return F.coalesce(F.crc32(named(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +96,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """A last column of ones, which takes the biases: one product instead of two passes."""
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
+
+
+def _row_sums(p: np.ndarray) -> np.ndarray:
+    return p @ np.ones(p.shape[1], p.dtype)
+
+
 class Network:
     """Weights of the GRU and of its two-step output; training and scoring."""
 
@@ -109,78 +122,92 @@ class Network:
         inside[self.group, self.slot] = np.log(frequency + 0.1)
         mass = np.log(np.exp(inside.astype(float)).sum(axis=1)).astype(np.float32)
         small = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
-        self.w = {"x": small(n, 3 * hidden), "u": small(hidden, 3 * hidden), "b": np.zeros(3 * hidden, np.float32), "vc": small(groups, hidden) * 0.1, "bc": mass, "vw": small(groups, width, hidden) * 0.1, "bw": inside}
+        self.w = {"e": small(n, hidden) * 3, "x": small(hidden, 3 * hidden) * 3, "u": small(hidden, 3 * hidden), "b": np.zeros(3 * hidden, np.float32), "vc": small(groups, hidden) * 0.1, "bc": mass - mass.max(), "vw": small(groups, width, hidden) * 0.1, "bw": inside - inside.max(axis=1, keepdims=True)}
+
+    def _outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Output weights of the classes and inside them, each with its bias last."""
+        w = self.w
+        return np.column_stack([w["vc"], w["bc"]]), np.concatenate([w["vw"], w["bw"][:, :, None]], axis=2)
+
+    def _move(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One step from the states h: a is what the inputs give."""
+        k = self.hidden
+        c = h @ self.w["u"]
+        zr = a[:, : 2 * k] + c[:, : 2 * k]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r, c = zr[:, :k], zr[:, k:], c[:, 2 * k :]
+        new = r * c
+        new += a[:, 2 * k :]
+        np.tanh(new, out=new)
+        after = h - new
+        after *= z
+        after += new
+        return after, z, r, new, c
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        k, w = self.hidden, self.w
-        a, c = w["x"][x] + w["b"], h @ w["u"]
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * k] + c[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        new = np.tanh(a[:, 2 * k :] + r * c[:, 2 * k :])
-        return new + z * (h - new), z, r, new, c[:, 2 * k :]
+        return self._move(self.w["e"][x] @ self.w["x"] + self.w["b"], h)
 
     def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of P(y) after each state."""
-        w, group = self.w, self.group[y]
-        logits = h @ w["vc"].T + w["bc"]
-        top = logits.max(axis=1)
-        out = logits[np.arange(len(y)), group] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(len(w["bc"]) + 1))
+        (classes, inside), group = self._outputs(), self.group[y]
+        h = _with_one(h)
+        logits = h @ classes.T
+        out = logits[np.arange(len(y)), group]
+        out -= np.log(_row_sums(np.exp(logits, out=logits)))
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(len(classes) + 1))
+        hs, slots = h[order], self.slot[y[order]]
+        part, total = np.empty(len(y), out.dtype), np.empty(len(y), out.dtype)
         for g in np.flatnonzero(np.diff(cuts)).tolist():
-            own = order[cuts[g] : cuts[g + 1]]
-            logits = h[own] @ w["vw"][g].T + w["bw"][g]
-            top = logits.max(axis=1)
-            out[own] += logits[np.arange(len(own)), self.slot[y[own]]] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+            own = slice(cuts[g], cuts[g + 1])
+            logits = hs[own] @ inside[g].T
+            part[own] = logits[np.arange(len(logits)), slots[own]]
+            total[own] = _row_sums(np.exp(logits, out=logits))
+        out[order] += part - np.log(total)
         return out
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         """Of one window (steps x lanes), back to its first step; the state is carried on."""
         k, w = self.hidden, self.w
         steps, lanes = x.shape
+        items = x.reshape(-1)
+        inputs = w["e"][items]
+        moved = (inputs @ w["x"] + w["b"]).reshape(steps, lanes, 3 * k)
         trace, states = [], []
         for t in range(steps):
-            h = np.where(first[t][:, None], 0, h)
-            after, z, r, new, c = self.step(x[t], h)
+            if first[t].any():
+                h = np.where(first[t][:, None], 0, h)
+            after, z, r, new, c = self._move(moved[t], h)
             trace.append((h, z, r, new, c))
             states.append(after)
             h = after
         hs, target = np.concatenate(states), y.reshape(-1)
         group, slot, n = self.group[target], self.slot[target], len(target)
-        p = hs @ w["vc"].T + w["bc"]
-        p -= p.max(axis=1, keepdims=True)
+        ones, (classes, inside) = _with_one(hs), self._outputs()
+        p = ones @ classes.T
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True) * n
+        p *= (1 / (n * _row_sums(p)))[:, None]
         p[np.arange(n), group] -= 1 / n
-        g = {"vc": p.T @ hs, "bc": p.sum(axis=0), "vw": np.zeros_like(w["vw"]), "bw": np.zeros_like(w["bw"])}
+        of_classes, of_words = p.T @ ones, np.zeros_like(inside)
         back = p @ w["vc"]
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(len(w["bc"]) + 1))
-        # targets of a class go in blocks of BLOCK rows, the last of a class filled up with zeros
-        counts = np.diff(cuts)
-        blocks = -(-counts // BLOCK)
-        owner = np.repeat(np.arange(len(blocks)), blocks)
-        firsts = np.concatenate([[0], np.cumsum(blocks)])
-        row = scan.spread(firsts[:-1] * BLOCK, counts)
-        total = len(owner) * BLOCK
-        block_hs = np.zeros((total, k), hs.dtype)
-        block_hs[row] = hs[order]
-        block_hs = block_hs.reshape(-1, BLOCK, k)
-        inside = w["vw"][owner]
-        q = block_hs @ inside.transpose(0, 2, 1)
-        q += w["bw"][owner][:, None]
-        q -= q.max(axis=2, keepdims=True)
-        np.exp(q, out=q)
-        weight = np.zeros(total, hs.dtype)
-        weight[row] = 1 / n
-        q *= weight.reshape(-1, BLOCK, 1) / q.sum(axis=2, keepdims=True)
-        q.reshape(total, -1)[row, slot[order]] -= 1 / n
-        some = np.flatnonzero(counts)
-        for j in some.tolist():
-            own = slice(firsts[j], firsts[j + 1])
-            g["vw"][j] = q[own].reshape(-1, self.width).T @ block_hs[own].reshape(-1, k)
-        g["bw"][some] = np.add.reduceat(q.sum(axis=1), firsts[some], axis=0)
-        back[order] += (q @ inside).reshape(total, k)[row]
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(len(classes) + 1))
+        by_class, of_class = ones[order], np.empty_like(ones)
+        chosen = slot[order]
+        for j in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = slice(cuts[j], cuts[j + 1])
+            rows, weights = by_class[mine], inside[j]
+            q = rows @ weights.T
+            np.exp(q, out=q)
+            q *= (1 / (n * _row_sums(q)))[:, None]
+            q[np.arange(len(q)), chosen[mine]] -= 1 / n
+            np.matmul(q.T, rows, out=of_words[j])
+            np.matmul(q, weights, out=of_class[mine])
+        g = {"vc": of_classes[:, :k], "bc": of_classes[:, k], "vw": of_words[:, :, :k], "bw": of_words[:, :, k]}
+        back[order] += of_class[:, :k]
         back = back.reshape(steps, lanes, k)
         carry, ut = np.zeros((lanes, k), hs.dtype), np.ascontiguousarray(w["u"].T)
         das, dcs = np.empty((steps, lanes, 3 * k), hs.dtype), np.empty((steps, lanes, 3 * k), hs.dtype)
@@ -188,16 +215,23 @@ class Network:
             before, z, r, new, c = trace[t]
             d = back[t] + carry
             da, dc = das[t], dcs[t]
-            dn = d * (1 - z) * (1 - new * new)
-            da[:, :k], da[:, k : 2 * k], da[:, 2 * k :] = d * (before - new) * z * (1 - z), dn * c * r * (1 - r), dn
-            dc[:, : 2 * k], dc[:, 2 * k :] = da[:, : 2 * k], dn * r
-            carry = d * z + dc @ ut
-            carry[first[t]] = 0
-        da, items = das.reshape(-1, 3 * k), x.reshape(-1)
-        g["b"], g["u"], g["x"] = da.sum(axis=0), np.concatenate([m[0] for m in trace]).T @ dcs.reshape(-1, 3 * k), np.zeros_like(w["x"])
+            carry = d * z
+            dn = (d - carry) * (1 - new * new)
+            dz = (before - new) * carry
+            dz *= 1 - z
+            dr = dn * c
+            dr *= r * (1 - r)
+            da[:, :k], da[:, k : 2 * k], da[:, 2 * k :] = dz, dr, dn
+            dc[:, : 2 * k] = da[:, : 2 * k]
+            np.multiply(dn, r, out=dc[:, 2 * k :])
+            carry += dc @ ut
+            if first[t].any():
+                carry[first[t]] = 0
+        da = das.reshape(-1, 3 * k)
+        g["b"], g["u"], g["x"], g["e"] = da.sum(axis=0), np.concatenate([m[0] for m in trace]).T @ dcs.reshape(-1, 3 * k), inputs.T @ da, np.zeros_like(w["e"])
         order = np.argsort(items, kind="stable")
         starts = np.flatnonzero(np.diff(items[order], prepend=-1))
-        g["x"][items[order][starts]] = np.add.reduceat(da[order], starts, axis=0)
+        g["e"][items[order][starts]] = np.add.reduceat((da @ w["x"].T)[order], starts, axis=0)
         return g, h
 
     def pack(self) -> np.ndarray:
@@ -223,7 +257,7 @@ class Network:
         size = len(stream) - 1
         if not size:
             return square, done
-        lanes = max(1, min(lanes, size // (2 * window)))
+        lanes = max(1, min(lanes, size // (LEAST * window)))
         even = size // lanes * lanes
         x, y = stream[:even].reshape(lanes, -1).T, stream[1 : even + 1].reshape(lanes, -1).T
         cuts = [(x[a : a + window], y[a : a + window]) for a in range(0, len(x), window)]
@@ -256,7 +290,7 @@ class Network:
                 flat[b] -= out
         return square, done
 
-    def score(self, items: np.ndarray, offsets: np.ndarray, window: int = 16) -> np.ndarray:
+    def score(self, items: np.ndarray, offsets: np.ndarray, window: int = 4) -> np.ndarray:
         """log10 probability of each text of item numbers, END included, from an empty state."""
         lengths = np.diff(offsets)
         order = np.argsort(-lengths, kind="stable")
@@ -265,9 +299,11 @@ class Network:
         x = np.full(len(order), END)
         longest = int(lengths[0]) if len(lengths) else 0
         active = np.searchsorted(-lengths, -np.arange(longest), "left")
-        for a in range(0, longest, window):
+        a = 0
+        while a < longest:
             states, targets, who = [], [], []
-            for t in range(a, min(a + window, longest)):
+            to = min(a + max(window, SIDE_ROWS // int(active[a])), longest)
+            for t in range(a, to):
                 n = int(active[t])
                 h[:n] = self.step(x[:n], h[:n])[0]
                 y = items[starts[:n] + t]
@@ -277,6 +313,7 @@ class Network:
                 x = y
             p = self.log_probability(np.concatenate(states), np.concatenate(targets))
             total += np.bincount(np.concatenate(who), p.astype(float), len(total))
+            a = to
         out = np.empty(len(order))
         out[order] = total / np.log(10)
         return out
@@ -290,13 +327,14 @@ class Model:
         self.counts = counts[self.index.order]
         self.tokens, self.kinds = tokens, kinds
         top = np.lexsort((self.index.keys, -self.counts))[:MODEL_WORDS]
-        self.item = np.full(len(hashes) + 1, RARE, np.int64)  # the last is for words that are not here
+        self.item = np.full(len(hashes) + 1, RARE, np.uint16)  # the last is for words that are not here
         self.item[top] = np.arange(len(top)) + 2
         items = float(self.counts[top].sum())
         words = tokens - texts
         self.rare_total = words - items + (kinds - bool(texts) - len(top)) + 1
         self.network = Network(np.concatenate([[texts], [max(words - items, 0)], self.counts[top]]).astype(float))
         self.texts = texts
+        del self.index.order
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.tokens + self.kinds + 1))
@@ -313,8 +351,8 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model of the training texts, and the table (word, n) of all their words."""
-    own = in_small_batches(docs).filter(~held_out(id_col)).select(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(2)).alias("hash"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    counted = own.select("text").mapInArrow(_count, "word long, n long, texts long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    own = in_small_batches(docs).filter(~held_out(id_col)).select(F.xxhash64(named(id_col).cast("string"), F.lit(2)).alias("hash"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
+    counted = own.select("text").mapInArrow(lean(_count), "word long, n long, texts long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
     counted = stored(counted, "words")
     words = counted.filter("n > 0")
     sums = counted.agg(F.sum("n"), F.sum("texts"), F.count_if(F.col("n") > 0)).first()
@@ -371,7 +409,7 @@ def learn(rows: DataFrame, model: Model) -> None:
 
         own = rows.filter(F.pmod("hash", F.lit(rounds)) == r) if rounds > 1 else rows
         dealt = own.repartitionById(tasks, F.pmod(F.shiftrightunsigned("hash", 20), F.lit(tasks)).cast("int")).sortWithinPartitions("hash", "items").select("items")
-        parts = dealt.mapInArrow(run, average)
+        parts = dealt.mapInArrow(lean(run), average)
         if tasks > 1:
             parts = parts.groupBy("slice").applyInArrow(averaged, average)
         found = sorted(parts.collect(), key=lambda x: x["slice"])
@@ -379,7 +417,7 @@ def learn(rows: DataFrame, model: Model) -> None:
             both = np.frombuffer(b"".join(bytes(x["data"]) for x in found), np.float32).copy()
             network.unpack(both[:size])
             square, done, model.seen = both[size:], max(x["steps"] for x in found), model.seen + found[0]["tokens"]
-        shared.unpersist()
+        shared.destroy()
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,7 +428,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened(shared)
         for batch in batches:
-            for piece in scan.pieces(batch, "text", SIDE_BYTES):
+            for piece in scan.pieces(batch, "text", NUMBER_BYTES):
                 h, place, per, items, ends = m.items_of(piece.column("text"))
                 n = piece.num_rows
                 doc = np.repeat(np.arange(n), np.diff(per))
@@ -410,23 +448,37 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 rest = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(x[first].view(np.int64)), pa.array(times.astype(np.int64))], ["word", "times"]))
                 yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("mark"), piece.column("hash"), piece.column("held_out"), pa.array(np.diff(ends), pa.int64()), pa.array(np.bincount(doc, known, n).astype(np.int64) + (m.texts > 0)), pa.array(base), pa.array(score), rest, pa.array([items[a:b].astype(np.uint16).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "mark", "hash", "held_out", "n_tokens", "n_known", "base", "score", "rest", "items"])
 
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(identity(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.xxhash64(F.col(f"`{id_col}`").cast("string"), text, F.lit(2)).alias("hash"), held_out(id_col).alias("held_out"), text.alias("text"))
-    numbers = stored(rows.mapInArrow(numbered, "id long, mark long, hash long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word long, times long>>, items binary"), "scored")
+    text = named(text_col).cast("string")
+    rows = docs.select(identity(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.xxhash64(named(id_col).cast("string"), text, F.lit(2)).alias("hash"), held_out(id_col).alias("held_out"), text.alias("text"))
+    numbers = stored(rows.mapInArrow(lean(numbered), "id long, mark long, hash long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word long, times long>>, items binary"), "scored")
     learn(numbers.filter(~F.col("held_out")).select("hash", "items"), model)
     network = share(docs.sparkSession, model.network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in scan.pieces(batch, "items", SIDE_BYTES // 3):
-                texts = [np.frombuffer(x.as_buffer(), np.uint16) for x in piece.column("items")]
-                ends = np.cumsum([0, *map(len, texts)])
-                score = opened(network).score(np.concatenate(texts).astype(np.int64), ends)
-                columns = {c: piece.column(c) for c in piece.schema.names if c != "items"}
-                columns["score"] = pa.array(piece.column("score").to_numpy() + score)
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            texts = [np.frombuffer(x.as_buffer(), np.uint16) for b in held for x in b.column("items")]
+            found = opened(network).score(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+            at = 0
+            for b in held:
+                columns = {c: b.column(c) for c in b.schema.names if c != "items"}
+                columns["score"] = pa.array(b.column("score").to_numpy() + found[at : at + b.num_rows])
+                at += b.num_rows
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    scored = numbers.drop("hash", "rest").mapInArrow(run, "id long, mark long, held_out boolean, n_tokens long, n_known long, base double, score double")
+        for batch in batches:
+            for piece in scan.pieces(batch, "items", SIDE_BYTES):
+                held.append(piece)
+                size += scan.text_bytes(piece.column("items"))[1][-1]
+                if size >= SIDE_BYTES:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    scored = numbers.drop("hash", "rest").mapInArrow(lean(run), "id long, mark long, held_out boolean, n_tokens long, n_known long, base double, score double")
     rest = numbers.select("id", "mark", F.explode("rest").alias("r")).select("id", "mark", "r.word", "r.times").distinct()
     c = F.coalesce(F.col("n"), F.lit(0)) + 1
     more = merged(rest, words, "word", "left").groupBy("id", "mark").agg(

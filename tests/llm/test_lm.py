@@ -89,3 +89,32 @@ def test_all_texts_are_trained_on_in_rounds_and_tasks(spark, monkeypatch):
     got = scores(spark.createDataFrame(rows, "doc_id long, text string")).agg({"score": "sum", "base_score": "sum"}).first()
     assert models[0].seen == models[0].tokens
     assert got["sum(score)"] > 0.9 * got["sum(base_score)"]
+
+
+def test_score_is_the_stepwise_log_likelihood(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MODEL_WORDS", 9)
+    models, inner = [], lm.learn
+    monkeypatch.setattr(lm, "learn", lambda rows, model: (inner(rows, model), models.append(model)))
+    r = np.random.default_rng(5)
+    texts = {k: " ".join(f"w{min(int(x), 40)}" for x in r.geometric(0.1, r.integers(0, 60))) for k in range(120)} | {200: None, 201: "never Seen w1 never", 202: "W2 " * 300}
+    got = {x.doc_id: x.score for x in scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    train = [w for k, t in texts.items() if zlib.crc32(str(k).encode()) % 7 != 2 for w in split(t)]
+    c, net = Counter(train), models[0].network
+    w, width = net.w, net.width
+    keys = {word: int(lm._words(lm.pa.array([word]))[0][0]) for word in c}
+    top = {word: i + 2 for i, word in enumerate(sorted(c, key=lambda x: (-c[x], keys[x]))[:9])}
+    rare = {x: n for x, n in c.items() if x not in top}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for k, text in texts.items():
+        h, x, total = np.zeros(net.hidden), lm.END, 0.0
+        for word in [*split(text), None]:
+            a, u, n = w["e"][x] @ w["x"] + w["b"], h @ w["u"], net.hidden
+            z, reset = sigmoid(a[:n] + u[:n]), sigmoid(a[n : 2 * n] + u[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(a[2 * n :] + reset * u[2 * n :])
+            x = lm.END if word is None else top.get(word, lm.RARE)
+            group, slot = divmod(sorted(range(len(net.group)), key=lambda i: (net.group[i], net.slot[i])).index(x), width)
+            classes, inside = np.exp(w["vc"] @ h + w["bc"]), np.exp(w["vw"][group] @ h + w["bw"][group])
+            total += math.log10(classes[group] / classes.sum() * inside[slot] / inside.sum())
+            if x == lm.RARE:
+                total += math.log10((c.get(word, 0) + 1) / (sum(rare.values()) + len(rare) + 1))
+        assert abs(total - got[k]) < 1e-4 * max(1, abs(total)), k
