@@ -17,10 +17,14 @@ Plan: SQL functions only. Dice >= d bounds sizes: |A| lies between |B| * d / (2
 |B| * (2 - d) / d, so a segment with too few or too many words for every template is dropped
 before bigrams are made, and templates are pruned for each segment by the same bounds in the
 join. Segments' distinct bigrams meet the templates' bigrams (a fixed list, a few thousand
-rows) in a broadcast join, which only shared bigrams survive; counting them gives the
+rows) in a broadcast join, which only shared bigrams survive. Before any of this, a text and a
+segment must hold a mark: marks are the letters with which words begin that so many bigrams of every
+template have that no text without them can share enough bigrams with any (`marks_of` finds them
+from the templates). Most texts have none and end there; counting them gives the
 intersection. A licence line that a third of all documents share is a row per document in a
 group of its own: the grouping key is the segment. Windows need no text: places of shared bigrams
-meet by text and template, and most are dropped as two thirds of a template must be there.
+meet by text and template, and most are dropped as two thirds of a template must be there; a window
+begins only at places with so many others within its reach.
 
 Defined results. Null, empty and unmatched texts have no licence, 0 matches and score 0. Rows
 with one doc_id and one text are one document for counting and each get the result. A null
@@ -29,12 +33,14 @@ doc_id is kept. Other columns of the table are not looked at.
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelens.llm.common import NULL_ID, identity, table
+from curvelens.llm.common import NULL_ID, identity, named, table
 
 DICE = 0.8
 
@@ -77,6 +83,46 @@ def size_bounds(dice: float) -> tuple[float, float]:
     return dice / (2 - dice) * (1 - 1e-9), (2 - dice) / dice * (1 + 1e-9)
 
 
+# Words too common to tell a licence by.
+COMMON = "a all an and any are as at be by can for from has have if in is it its may more no not of on one or that the this to under use was which with you".split()
+
+
+def marks_of(templates: list[tuple[str, str]], dice: float, letters: int = 6) -> list[str]:
+    """Beginnings of words (whole words of two letters), one of which is in every text that reaches this Dice with some template.
+
+    A text must share `need` of a template's distinct bigrams, so it holds at least one of any set of
+    more than size - need of them. Marks are taken, the one that serves most templates first, until in
+    each template that many bigrams have one. A template without enough such bigrams gives no marks: every text is looked at.
+    """
+    open_, chosen = [], []
+    for _, text in templates:
+        words = re.findall("[a-z0-9]+", text.lower())
+        grams = {*zip(words, words[1:], strict=False)}
+        open_.append(([{w[:letters] for w in g if len(w) > 1 and not w.isdigit() and w not in COMMON} for g in grams], len(grams) - math.ceil(len(grams) * size_bounds(dice)[0]) + 1))
+    while open_:
+        serves: dict[str, int] = {}
+        for grams, need in open_:
+            for mark in set().union(*grams):
+                serves[mark] = serves.get(mark, 0) + min(need, sum(mark in g for g in grams)) * len(mark) ** 2
+        if not serves:
+            return []
+        chosen.append(max(sorted(serves), key=serves.get))
+        open_ = [([g for g in grams if chosen[-1] not in g], need - sum(chosen[-1] in g for g in grams)) for grams, need in open_]
+        open_ = [x for x in open_ if x[1] > 0]
+        if any(not set().union(*grams) for grams, _ in open_):
+            return []
+    return chosen
+
+
+def has_mark(text: Column, marks: list[str]) -> Column:
+    """Whether the text, in lower case, has a mark; it is bound once (a lambda), not for each mark."""
+
+    def found(low: Column) -> Column:
+        return reduce(lambda x, y: x | y, [F.contains(low, F.lit(m)) & (F.lit(True) if len(m) > 2 else low.rlike(f"(?<![a-z0-9]){m}(?![a-z0-9])")) for m in marks])
+
+    return F.exists(F.array(F.lower(text)), found) if marks else F.lit(True)
+
+
 def template_rows(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     """(template, licence, size, bigram): a row per distinct bigram of each template."""
 
@@ -95,13 +141,14 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, dice:
     sizes = [len({*zip(w, w[1:], strict=False)}) for w in (re.findall("[a-z0-9]+", t.lower()) for _, t in templates)]
     low, high = size_bounds(dice)
     least, most = min(sizes) * low, max(sizes) * high
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(identity(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    text = named(text_col).cast("string")
+    marks = marks_of(templates, dice)
+    rows = docs.filter(has_mark(text, marks)).select(identity(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     lines, parts = F.split("text", "\r?\n"), F.split("text", "\r?\n[ \t]*\r?\n")
     several = lambda pieces: F.when(F.size(pieces) > 1, pieces).otherwise(F.array().cast("array<string>"))
     segments = rows.select("id", "mark", F.posexplode(F.concat(F.array("text"), several(lines), several(parts))).alias("segment", "piece"))
     # n bigrams take n + 1 words, of one character at least and one between
-    segments = segments.filter(F.length("piece") >= 2 * least + 1)
+    segments = segments.filter(F.length("piece") >= 2 * least + 1).filter(has_mark(F.col("piece"), marks))
     # The words of a segment are bound once (a lambda), or each bigram would cut the text anew.
     cut = F.array(F.regexp_extract_all(F.lower("piece"), F.lit("[a-z0-9]+"), F.lit(0)))
 
@@ -122,11 +169,12 @@ def passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, dice
     low, high = size_bounds(dice)
     lengths = [len(re.findall("[a-z0-9]+", t.lower())) - 1 for _, t in templates]
     grams = template_rows(docs.sparkSession, templates).withColumn("span", (F.get(F.array(*map(F.lit, lengths)), F.col("template")) * high).cast("int")).withColumn("code", F.hash("bigram"))
-    text = F.col(f"`{text_col}`").cast("string")
+    text = named(text_col).cast("string")
     words = F.array(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
     pairs = F.get(F.transform(words, lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))), F.lit(0))
     # repeated rows are one text
-    rows = docs.select(identity(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.posexplode(pairs).alias("pos", "bigram"))
+    some = docs.filter(has_mark(text, marks_of(templates, dice)))
+    rows = some.select(identity(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.posexplode(pairs).alias("pos", "bigram"))
     hits = rows.join(F.broadcast(grams), "bigram").groupBy("id", "mark", "template", "licence", "size", "span").agg(F.array_sort(F.collect_set(F.struct("pos", "code"))).alias("hits"))
     hits = hits.filter(F.size("hits") >= F.col("size") * low).filter(F.size(F.array_distinct("hits.code")) >= F.col("size") * low)
 
@@ -141,7 +189,10 @@ def passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, dice
         zero = F.struct(F.array().cast("array<int>").alias("seen"), F.lit(0).alias("n"), F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("both"), F.lit(0).alias("start"), F.lit(0).alias("end")).alias("best"))
         return F.aggregate(F.filter("hits", lambda h: (h["pos"] >= start["pos"]) & (h["pos"] < start["pos"] + F.col("span"))), zero, step, lambda state: state["best"])
 
-    found = hits.withColumn("best", F.array_max(F.transform("hits", best_from))).filter(F.col("best.score") >= dice)
+    # a window has `need` hits, so from its first the need-th is within reach
+    need = F.ceil(F.col("size") * low).cast("int")
+    starts = F.filter("hits", lambda h, i: F.get("hits", i + need - 1)["pos"] < h["pos"] + F.col("span"))
+    found = hits.withColumn("starts", starts).filter(F.size("starts") > 0).withColumn("best", F.array_max(F.transform("starts", best_from))).filter(F.col("best.score") >= dice)
     item = F.struct("best.start", "best.end", F.struct("best.both", "best.score", (-F.col("template")).alias("minus")).alias("rank"), "licence")
     own = found.groupBy("id", "mark").agg(F.array_sort(F.collect_list(item)).alias("all"))
     stays = lambda w: ~F.exists("all", lambda o: (o["start"] <= w["end"]) & (o["end"] >= w["start"]) & (o["rank"] > w["rank"]))
@@ -159,7 +210,7 @@ def whole_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_doc = by_name.groupBy("id", "mark").agg(
         F.min_by("licence", "first").alias("licence"), F.min("first").getField("minus").alias("minus"), F.sum(F.greatest("n", F.lit(1))).alias("n_matches"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"),
     )
-    rows = docs.select(identity(id_col).alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("mark"))
+    rows = docs.select(identity(id_col).alias("id"), F.xxhash64(named(text_col).cast("string")).alias("mark"))
     out = rows.join(per_doc, ["id", "mark"], "left")
     return out.select(F.when(F.col("id") < NULL_ID, F.col("id")).alias("doc_id"), "licence", F.round(F.coalesce(-F.col("minus"), F.lit(0.0)), 6).alias("score"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("licences", F.lit("")).alias("licences"))
 
@@ -170,7 +221,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     per_doc = found.groupBy("id", "mark").agg(
         F.max_by("licence", F.struct("score", (-F.col("segment")).alias("minus"))).alias("licence"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n_matches"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"),
     )
-    rows = docs.select(identity(id_col).alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("mark"))
+    rows = docs.select(identity(id_col).alias("id"), F.xxhash64(named(text_col).cast("string")).alias("mark"))
     out = rows.join(per_doc, ["id", "mark"], "left")
     return out.select(F.when(F.col("id") < NULL_ID, F.col("id")).alias("doc_id"), "licence", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("licences", F.lit("")).alias("licences"))
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-from curvelens.llm.licences import DICE, TEMPLATES, op5_licence_scan, scan, whole_scan
+from curvelens.llm.licences import DICE, TEMPLATES, marks_of, op5_licence_scan, scan, whole_scan
 
 
 def grams(text):
@@ -71,3 +71,17 @@ def test_licences_inside_longer_texts(spark):
 def test_same_as_segments_where_licences_stand_alone(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert sorted(map(str, op5_licence_scan(spark, sf_dir).collect())) == sorted(map(str, scan(docs).collect()))
+
+
+def test_no_text_without_a_mark_reaches_the_bound():
+    marks, r = marks_of(TEMPLATES, DICE), random.Random(4)
+    assert marks
+    has = lambda text: any(m in text if len(m) > 2 else re.search(f"(?<![a-z0-9]){m}(?![a-z0-9])", text) for m in marks)
+    for _, t in TEMPLATES:
+        words = re.findall("[a-z0-9]+", t.lower())
+        for _ in range(200):
+            a, b = sorted(r.sample(range(len(words) + 1), 2))
+            own = [w for w in words[a:b] if r.random() < 0.95]
+            if 2 * len(grams(" ".join(own)) & grams(t)) >= DICE * (len(grams(" ".join(own))) + len(grams(t))):
+                assert has(" ".join(own)), own
+    assert marks_of([("X", "a 1 of 2")], DICE) == []
