@@ -8,7 +8,7 @@ array of a word; the ranks are a literal of maps, dealt by CRC-32 of the key so
 reads a few entries. A fold costs tens of microseconds, so it runs on distinct words. (2) Words
 are counted over all documents; the HEAD most frequent, of LONGEST bytes at most, that occur
 twice or more are folded once. That dictionary is bounded by these two numbers whatever the input
-and is broadcast: HEAD * 36 bytes for words of four ids (19 MB).
+and is broadcast: 16 bytes a word for looking up, 5 and two an id for putting together (30 MB).
 (3) One narrow pass cuts texts, looks words up, and names what is not in the dictionary; these
 words, distinct within a piece of a few megabytes, are folded in the same stage by the same
 expression, and a second pass puts the ids together. Texts and tokens are never shuffled, only
@@ -38,7 +38,7 @@ from curvelens.llm import bytescan as scan
 from curvelens.llm.common import in_small_batches, lean, named, opened, own, restored, share, stored, table, text_of, with_own
 
 #: Entries and bytes that bound the broadcast dictionary of frequent words.
-HEAD = 1 << 19
+HEAD = 1 << 20
 LONGEST = 48
 #: Bytes of text whose words are counted together before they are sent on.
 COUNT_BYTES = 8 << 20
@@ -225,20 +225,29 @@ def _count_words(classes):
     return lean(run)
 
 
-class Dictionary(scan.HashIndex):
-    """Word hashes with the ids of each word."""
+class Pieces:
+    """The ids of the words of a dictionary, in the order of its index."""
 
-    def __init__(self, words: pa.Array, ids: pa.Array):
-        h = [np.zeros(0, np.uint64)]
-        for a in range(0, len(words), 50_000):
-            buf, offsets = scan.text_bytes(words.slice(a, 50_000))
-            h.append(scan.span_hashes(buf, offsets[:-1], offsets[1:]))
-        super().__init__(np.concatenate(h))
+    def __init__(self, ids: pa.Array, order: np.ndarray):
         flat, starts, counts = flat_lists(ids)
-        self.counts = counts[self.order]
-        self.ids = flat[scan.spread(starts[self.order], self.counts)]
-        self.starts = (np.cumsum(self.counts) - self.counts).astype(np.int32)
-        del self.order
+        counts = counts[order]
+        self.ids = flat[scan.spread(starts[order], counts)]
+        if not len(flat) or flat.max() < 1 << 16:
+            self.ids = self.ids.astype(np.uint16)
+        self.counts = counts.astype(np.uint8)  # a word has LONGEST bytes at most
+        self.starts = (np.cumsum(counts) - counts).astype(np.int32)
+
+
+def dictionary(words: pa.Array, ids: pa.Array) -> tuple[scan.HashIndex, Pieces]:
+    """Places of words by their hashes, and the ids of each."""
+    h = [np.zeros(0, np.uint64)]
+    for a in range(0, len(words), 50_000):
+        buf, offsets = scan.text_bytes(words.slice(a, 50_000))
+        h.append(scan.span_hashes(buf, offsets[:-1], offsets[1:]))
+    index = scan.HashIndex(np.concatenate(h))
+    pieces = Pieces(ids, index.order)
+    del index.order
+    return index, pieces
 
 
 def flat_lists(ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,11 +280,11 @@ def _look_up(classes, head, texts: bool):
     return lean(run)
 
 
-def _put_together(head, finish):
+def _put_together(pieces, finish):
     """Batches with the ids of each row: finish(other columns, ids, offsets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = opened(head)
+        known = opened(pieces)
         other = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32))
         for batch in batches:
             cuts = np.flatnonzero(batch.column("ids").is_valid().to_numpy(zero_copy_only=False)).tolist()
@@ -319,17 +328,18 @@ def _shared(docs: DataFrame, text_col: str, ranks: dict[bytes, int], head_words:
     found = frequent.withColumn("maps", maps).select("word", F.get(ids_of(F.array("word"), F.col("maps")), F.lit(0)).alias("ids")).toArrow().combine_chunks()
     words = pa.concat_arrays(found.column("word").chunks) if found.num_rows else pa.array([], pa.binary())
     ids = pa.concat_arrays(found.column("ids").chunks) if found.num_rows else pa.array([], pa.list_(pa.int32()))
-    return classes, share(docs.sparkSession, Dictionary(words, ids)), maps
+    index, pieces = dictionary(words, ids)
+    return classes, share(docs.sparkSession, index), share(docs.sparkSession, pieces), maps
 
 
 def _encoded(docs: DataFrame, text_col: str, ranks: dict[bytes, int], head_words: int, keep: list[str], texts: bool, finish, made: str) -> DataFrame:
     """own, the text if asked for, and what finish makes of each piece's ids."""
-    classes, head, maps = _shared(docs, text_col, ranks, head_words)
+    classes, head, pieces, maps = _shared(docs, text_col, ranks, head_words)
     also = "text string, " if texts else ""
     rows = docs.select(own(keep), text_of(text_col))
     coded = rows.mapInArrow(_look_up(classes, head, texts), with_own(docs, keep, f"{also}codes binary, other array<binary>"))
     folded = coded.withColumn("maps", maps).select("own", *(["text"] if texts else []), "codes", F.when(F.col("other").isNotNull(), ids_of(F.col("other"), F.col("maps"))).alias("ids"))
-    return folded.mapInArrow(_put_together(head, finish), with_own(docs, keep, f"{also}{made}"))
+    return folded.mapInArrow(_put_together(pieces, finish), with_own(docs, keep, f"{also}{made}"))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "text", ids_col: str = "token_ids", head_words: int = HEAD) -> DataFrame:
