@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curvelens.llm.common import place, table
+from curvelens.llm.common import place, stored, table
 
 SHARDS = 40
 #: Rows of one shard and stretch, and stretches, at most; offsets that are broadcast.
@@ -69,7 +69,8 @@ def assign(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_c
     stretch = F.lit(len(cuts))
     if cuts:
         stretch = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(place(F.col("doc_id"), cuts))
-    rows = rows.withColumn("stretch", stretch.cast("int"))
+    # computed once: counts and slots both read it
+    rows = stored(rows.withColumn("stretch", stretch.cast("int")), "assigned")
     counts = rows.groupBy("shard", "stretch").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("shard", "stretch", before.alias("before"))
