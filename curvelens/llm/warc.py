@@ -14,7 +14,7 @@ time, validators, headers, digest), never a body. Built-in functions only.
 Validators: if both sides have an ETag, these decide (a weak mark W/ is dropped); else if both
 have a Last-Modified, that decides; else the revisit is unchecked and resolves.
 
-Defined results. A null or empty URL is a URL of its own; a null time never finds nor serves as an original;
+Defined results. A null URL never finds nor serves as an original, an empty one is a URL of its own; a null time never finds nor serves as an original;
 of responses at one time the largest id is the latest; header names are taken in lower case, null headers are none. Other columns of the table are not looked at.
 """
 
@@ -33,7 +33,7 @@ BLOCK_ROWS = 50_000
 BLOCKS = 8192
 
 # Fixed patterns: what a canonical URL leaves out.
-_TRACKING = "(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
+_TRACKING = "(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 
 
 def canonical_url(url: Column) -> Column:
@@ -70,7 +70,7 @@ def resolve(records: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     changed, missing), headers (merged where resolved or unchecked) and digest, length of the body.
     """
     rows = records.select(
-        F.col("record_id").cast("long").alias("record_id"), F.coalesce(canonical_url(F.col("url")), F.lit("")).alias("url_key"), F.col("at").cast("long").alias("at"),
+        F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("url_key"), F.col("at").cast("long").alias("at"),
         F.coalesce(F.col("revisit"), F.lit(False)).alias("revisit"), _lower_names(F.col("headers")).alias("headers"), F.col("digest").cast("string").alias("digest"), F.col("length").cast("long").alias("length"),
     )
     n = records.count()
@@ -80,7 +80,7 @@ def resolve(records: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     shares = [i / blocks for i in range(1, blocks)]
     cuts = sorted({x for x in records.select(F.percentile_approx(F.col("at").cast("long"), shares, 10_000)).first()[0] or [] if x is not None}) if shares else []
     block = place(F.col("at"), cuts)
-    timed = rows.filter("at is not null").withColumn("block", block.cast("int"))
+    timed = rows.filter("at is not null and url_key is not null").withColumn("block", block.cast("int"))
     served = F.when(~F.col("revisit"), F.struct("at", "record_id", "headers", "digest", "length"))
     # at one time revisits come before responses: an original is strictly earlier
     order = Window.partitionBy("url_key", "block").orderBy("at", F.when(F.col("revisit"), 0).otherwise(1), "record_id")
@@ -92,7 +92,7 @@ def resolve(records: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     before = Window.partitionBy("url_key").orderBy("block", F.when(F.col("asks"), 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, -1)
     far = carried.withColumn("far", F.last("served", ignorenulls=True).over(before)).filter("asks").select("url_key", "block", "far")
     joined = local.join(far, ["url_key", "block"], "left").select("record_id", "url_key", "at", "headers", F.coalesce("near", "far").alias("found"))
-    untimed = rows.filter("at is null and revisit").select("record_id", "url_key", "at", "headers", F.lit(None).cast(joined.schema["found"].dataType).alias("found"))
+    untimed = rows.filter("(at is null or url_key is null) and revisit").select("record_id", "url_key", "at", "headers", F.lit(None).cast(joined.schema["found"].dataType).alias("found"))
     found = joined.unionByName(untimed)
     mine, theirs = (lambda name: F.col("headers")[name]), (lambda name: F.col("found.headers")[name])
     etags, dates = (_strong(mine("etag")), _strong(theirs("etag"))), (mine("last-modified"), theirs("last-modified"))
@@ -144,7 +144,7 @@ with parts as (
     case when page_id % 10 = 7 then 2 * page_id - 1 else 2 * page_id + 1 + 2 * ((page_id * 7919) % 5000) end as later,
     regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www[.]', ''), ':(80|443)$', '') as host,
     regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/index[.]html?$', '/'), '/+$', '') as path,
-    regexp_replace(regexp_replace(regexp_replace(regexp_extract(bare, '[?](.*)$', 1), '(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '&+', '&', 'g'), '^&|&$', '', 'g') as query
+    regexp_replace(regexp_replace(regexp_replace(regexp_extract(bare, '[?](.*)$', 1), '(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '&+', '&', 'g'), '^&|&$', '', 'g') as query
   from parts
 ), urls as (
   select *, host || path || case when query <> '' then '?' || query else '' end as url_key from keyed

@@ -57,7 +57,16 @@ def test_matches_brute_force(spark):
         ("https://ex.com", "ex.com"),
         ("https://ex.com/?ref=x&page=2", "ex.com?page=2"),
         ("", ""),
+        ("ex.com/?xref=1", "ex.com?xref=1"),
+        ("ex.com/?href=b&q=1&ref=2", "ex.com?href=b&q=1"),
+        ("ex.com/?ref=2&q=1", "ex.com?q=1"),
     ],
 )
 def test_canonical_url(spark, url, key):
     assert spark.createDataFrame([(url,)], "url string").select(canonical_url(F.col("url"))).first()[0] == key
+
+
+def test_null_urls_and_repeated_rows(spark):
+    rows = [(1, None, 1, False, {"etag": "a"}, "d", 3, 0), (2, None, 2, True, {"etag": "a"}, None, None, 0), (3, "", 1, False, {}, "e", 3, 0), (4, "", 2, True, {}, None, None, 0), (4, "", 2, True, {}, None, None, 0)]
+    got = sorted((x.record_id, x.url_key, x.original_id, x.verdict) for x in resolve(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(2, None, None, "missing"), (4, "", 3, "unchecked"), (4, "", 3, "unchecked")]
