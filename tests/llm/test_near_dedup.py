@@ -75,3 +75,41 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
+
+
+def test_same_components_whatever_the_batches(spark):
+    rows = fixture(3)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    try:
+        for size in (11, 4000):
+            spark.conf.set(name, size)
+            assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in digests(df).collect()} == brute(rows)
+    finally:
+        spark.conf.set(name, old)
+
+
+def test_exact_on_a_middle_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {x.doc_id: x.text for x in df.collect()}
+    sets = {k: shingles(t) for k, t in rows.items()}
+    by, lead = {}, {k: k for k in rows}
+
+    def root(x):
+        while lead[x] != x:
+            x = lead[x]
+        return x
+
+    # all pairs that share a shingle, by an index of shingles
+    for k in sorted(rows):
+        both = {}
+        for s in sets[k]:
+            for other in by.setdefault(s, []):
+                both[other] = both.get(other, 0) + 1
+            by[s].append(k)
+        for other, n in both.items():
+            if 100 * n >= 75 * (len(sets[k]) + len(sets[other]) - n):
+                x, y = root(k), root(other)
+                lead[max(x, y)] = min(x, y)
+    assert {x.doc_id: x.component_id for x in digests(df).collect()} == {k: root(k) for k in rows}
