@@ -160,7 +160,7 @@ with parts as (
     else 'unchecked' end as verdict from found
 )
 select cast(record_id as bigint) as record_id, url_key, cast(captured as bigint) as captured, cast(original_id as bigint) as original_id, cast(original_at as bigint) as original_at, verdict,
-  case when verdict in ('resolved', 'unchecked') then 'cache-control=max-age=' || (page_id % 9) || ';content-type=text/html;date=' || at || ';etag=' || case when page_id % 5 < 3 then 'W/' || my_etag else etag end || ';last-modified=' || lm end as headers,
+  case when verdict in ('resolved', 'unchecked') then 'cache-control=max-age=' || (page_id % 9) || ';content-type=text/html;date=' || captured || ';etag=' || case when page_id % 5 < 3 then 'W/' || my_etag else etag end || ';last-modified=' || lm end as headers,
   case when verdict in ('resolved', 'unchecked') then etag end as digest,
   cast(case when verdict in ('resolved', 'unchecked') then length end as bigint) as length
 from judged
