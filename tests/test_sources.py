@@ -90,6 +90,25 @@ def test_event_files_restart_and_damage():
     assert (log.overwritten, log.unread_bytes) == (2, 3)
 
 
+def test_a_session_start_takes_back_what_follows_it():
+    assert [binary.file_version(x) for x in ("brain.Event:2", "brain.Event:1", "brain.Event: 12", "other", "")] == [2, 1, 12, None, None]
+    data = tf_event(0, version=b"brain.Event:2") + b"".join(tf_event(s, b"loss", float(s)) for s in range(1, 6)) + tf_event(3, start=True)
+    log = binary.read_events({"a/events.out.tfevents.1.h": data})
+    assert values(log) == [("train/loss", 1, 1.0), ("train/loss", 2, 2.0)] and log.overwritten == 3
+    twice = tf_event(0, version=b"brain.Event:2") + tf_event(4, b"loss", 1.0) + tf_event(4, b"loss", 2.0)
+    assert values(binary.read_events({"a/events.out.tfevents.1.h": twice})) == [("train/loss", 4, 1.0), ("train/loss", 4, 2.0)]
+
+
+def test_before_session_starts_a_falling_step_takes_back_its_own_tags():
+    data = tf_event(0, version=b"brain.Event:1") + b"".join(tf_event(s, tag, float(s)) for s in range(1, 5) for tag in (b"loss", b"acc")) + tf_event(3, b"loss", 9.0)
+    log = binary.read_events({"a/events.out.tfevents.1.h": data})
+    assert [v for v in values(log) if v[0] == "train/loss"] == [("train/loss", 1, 1.0), ("train/loss", 2, 2.0), ("train/loss", 3, 9.0)]
+    assert [v[1] for v in values(log) if v[0] == "train/acc"] == [1, 2, 3, 4] or [v[1] for v in values(log) if v[0] == "acc"] == [1, 2, 3, 4]
+    assert log.overwritten == 2
+    equal = tf_event(0, version=b"brain.Event:1") + tf_event(4, b"loss", 1.0) + tf_event(4, b"loss", 2.0)
+    assert len(values(binary.read_events({"a/events.out.tfevents.1.h": equal}))) == 2
+
+
 def native(records):
     out = binary.RUN_HEADER
     for body in records:
