@@ -65,7 +65,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         import pandas as pd
 
         timing = detectors.grouped(readings, lambda run, key: pd.DataFrame([{"ratio": detectors.timing(run)["ratio"]}]), "ratio double", axis).select(F.nanvl("ratio", F.lit(None).cast("double")).alias("ratio"))
-    return report.gate(found, sources, given.fail_on, timing)
+    return report.gate(found, sources, given.fail_on, timing, readings)
 
 
 if __name__ == "__main__":

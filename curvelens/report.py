@@ -63,11 +63,21 @@ def notes(source: dict, metrics: list[dict]) -> list[str]:
     return [text for there, text in told if there]
 
 
-def gate(findings: DataFrame, sources: DataFrame | None = None, fail_on: str | None = None, timing: DataFrame | None = None) -> int:
-    """0 fine, 1 a finding of this severity or worse, 2 input that is incomplete or without the timing asked for."""
+#: What makes a log incomplete: readings that are missing, doubtful or were taken back.
+INCOMPLETE = "error is not null or skipped_rows > 0 or skipped_values > 0 or unread_bytes > 0 or overwritten > 0"
+
+
+def gate(findings: DataFrame, sources: DataFrame | None = None, fail_on: str | None = None, timing: DataFrame | None = None, readings: DataFrame | None = None) -> int:
+    """0 fine, 1 a finding of this severity or worse, 2 input that is incomplete or without the timing asked for.
+
+    Input is complete if every log was read to its end, no record or value was skipped, nothing was taken back by a
+    restart and, where readings are given, none is unreadable and no step has two values.
+    """
     if fail_on is None and timing is None:
         return 0
-    if sources is not None and sources.filter("error is not null or skipped_rows > 0 or skipped_values > 0 or unread_bytes > 0").limit(1).count():
+    if sources is not None and sources.filter(INCOMPLETE).limit(1).count():
+        return 2
+    if readings is not None and project.complete(readings).filter("not complete").limit(1).count():
         return 2
     if timing is not None and timing.filter("ratio is null").limit(1).count():
         return 2
