@@ -18,6 +18,7 @@ from curvelens.model import DETECTORS
 from curvelens.operators import curves as kernels
 from curvelens.operators import detectors, joins, project, studies
 from curvelens.plans.series import CURVES, EVENTS, GAPPED, ORDERS, curves, event_readings, order_readings, table
+from curvelens.sources import load
 from curvelens.streaming.watch import follow, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,19 +275,18 @@ def levels(spark, d):
 
 _FOLD = f"""{_LEVELS},
 ln as (select run_id, start - best as progress, noise, 1.2533 / sqrt(win) * rel as rel_noise, win, scatter, rel from lx where start - best > greatest(6 * noise, 4 * start_noise)),
-ls as (select run_id, list({{'i': pos, 'level': smooth, 'best': smooth, 'open': false, 'base': 0::double, 'peak': 0::double, 'margin': 0::double, 'first': 0::bigint, 'found': []::struct("first" bigint, "last" bigint, base double, peak double, recovered boolean)[]}} order by pos) as points, max(pos) as last_pos from sm group by 1),
-fo as (select run_id, progress, win, scatter, rel, last_pos, list_reduce(list_prepend(points[1], points), lambda a, x:
-  case when not a.open and x.level > least(a.best, x.level) + greatest(0.25 * progress, 4 * greatest(noise, rel_noise * abs(least(a.best, x.level))))
-    then {{'i': x.i, 'level': x.level, 'best': least(a.best, x.level), 'open': true, 'base': least(a.best, x.level), 'peak': x.level, 'margin': greatest(0.25 * progress, 4 * greatest(noise, rel_noise * abs(least(a.best, x.level)))), 'first': x.i, 'found': a.found}}
-  when not a.open then {{'i': x.i, 'level': x.level, 'best': least(a.best, x.level), 'open': false, 'base': 0::double, 'peak': 0::double, 'margin': 0::double, 'first': 0::bigint, 'found': a.found}}
-  when x.level <= a.base + 0.25 * a.margin then {{'i': x.i, 'level': x.level, 'best': least(a.best, x.level), 'open': false, 'base': 0::double, 'peak': 0::double, 'margin': 0::double, 'first': 0::bigint, 'found': list_append(a.found, {{'first': a.first, 'last': x.i, 'base': a.base, 'peak': greatest(a.peak, x.level), 'recovered': true}})}}
-  else {{'i': x.i, 'level': x.level, 'best': a.best, 'open': true, 'base': a.base, 'peak': greatest(a.peak, x.level), 'margin': a.margin, 'first': a.first, 'found': a.found}} end) as s
-  from ls join ln using (run_id)),
-ex as (select run_id, progress, win, scatter, rel, unnest(case when s.open then list_append(s.found, {{'first': s.first, 'last': last_pos, 'base': s.base, 'peak': s.peak, 'recovered': false}}) else s.found end, recursive := false) as e from fo),
+lo as (select sm.run_id, pos, smooth as level, ln.win as win, progress, ln.noise as noise, rel_noise, min(smooth) over (partition by sm.run_id order by pos rows between unbounded preceding and current row) as low from sm join ln using (run_id)),
+mg as (select *, greatest(0.25 * progress, 4 * greatest(noise, rel_noise * abs(low))) as margin from lo),
+ab as (select run_id, pos, low, margin from mg where level > low + margin),
+cl as (select ab.run_id, ab.pos, any_value(ab.low) as base, min(mg.pos) as closed from ab left join mg on mg.run_id = ab.run_id and mg.pos > ab.pos and mg.level <= ab.low + 0.25 * ab.margin group by 1, 2),
+nx as (select cl.run_id, cl.pos, any_value(cl.base) as base, any_value(cl.closed) as closed, min(ab.pos) as next from cl left join ab on ab.run_id = cl.run_id and ab.pos > cl.closed group by 1, 2),
+ch as (select run_id, min(pos) as pos from ab group by 1 union all select ch.run_id, nx.next from ch join nx using (run_id, pos) where nx.next is not null),
+ex as (select nx.run_id, ln.progress, ln.win, scatter, rel, {{'first': nx.pos, 'last': coalesce(nx.closed, e.last_pos), 'base': nx.base, 'peak': (select max(level) from mg where mg.run_id = nx.run_id and mg.pos between nx.pos and coalesce(nx.closed, e.last_pos)), 'recovered': nx.closed is not null}} as e
+  from ch join nx using (run_id, pos) join ln using (run_id) join (select run_id, max(pos) as last_pos from mg group by 1) e using (run_id)),
 es as (select ex.run_id, progress, win, scatter, rel, e."first" as i, e."last" as j, e.base, e.peak, e.recovered, a.step as first_step, b.step as last_step from ex join t a on a.run_id = ex.run_id and a.pos = e."first" join t b on b.run_id = ex.run_id and b.pos = e."last")"""
 
 
-@query(f"with {_FOLD} select run_id, first_step, last_step, round(base, 6) as base, round(peak, 6) as peak, recovered from es")
+@query(f"with recursive {_FOLD} select run_id, first_step, last_step, round(base, 6) as base, round(peak, 6) as peak, recovered from es")
 def excursions(spark, d):
     def one(run, key):
         curve = run.get("train/loss")
@@ -297,7 +297,7 @@ def excursions(spark, d):
     return out.select("run_id", "first_step", "last_step", _r(F.col("base"), "base"), _r(F.col("peak"), "peak"), "recovered")
 
 
-@query(f"""with {_FOLD}, sp as (select run_id, max(step) - min(step) as span, count(*) as n from t group by 1)
+@query(f"""with recursive {_FOLD}, sp as (select run_id, max(step) - min(step) as span, count(*) as n from t group by 1)
 select run_id, case when i < n / 10.0 then 'Early rise' else 'Setback' end as title, case when (last_step - first_step)::double / span >= 0.05 then 'warning' else 'info' end as severity, first_step as step_start, last_step as step_end,
   round((peak - base) / progress, 6) as share_of_progress, last_step - first_step as steps_lost
 from es join sp using (run_id) where recovered and j - i + 1 >= win and (last_step - first_step)::double / span >= 0.01""")
@@ -509,7 +509,7 @@ def fault_variants(spark, d):
     return rows.groupBy("run_id", "fault").agg(F.count(F.lit(1)).alias("points"), F.count_if(F.isnan("value")).alias("bad"), F.round(F.sum(F.nanvl("value", F.lit(0.0))), 3).alias("total"))
 
 
-@query(f"""with {_FOLD}, ta as (select run_id, max((peak - base) / progress) as tallest from es group by 1),
+@query(f"""with recursive {_FOLD}, ta as (select run_id, max((peak - base) / progress) as tallest from es group by 1),
 l as (select *, start - best > greatest(6 * noise, 4 * start_noise) as moved, (final - best) / (start - best) as back from lx)
 select run_id, case when not moved then case when start > 0 and final >= 1.5 * start then 'bad' else 'no progress' end when back < 0.1 then 'good' when back >= 0.5 then 'bad' else 'middling' end as ending, round(case when moved then back end, 6) as gave_back, round(coalesce(tallest, 0), 6) as tallest from l left join ta using (run_id)""")
 def run_endings(spark, d):
@@ -579,6 +579,81 @@ def shared_home(spark: SparkSession) -> str:
     return f"file://{own}/watch"
 
 
+# --- readers: the events' histories as log files, one per run, read back ---
+
+
+def _read_back(spark: SparkSession, texts: DataFrame, fmt: str) -> DataFrame:
+    """Readings of the logs (name, value) that were written as one file each; run is the name."""
+    home = shared_home(spark)
+    texts.repartition("name").write.partitionBy("name").text(home)
+    found = load(spark, home, fmt, pattern="*.txt")
+    return found.withColumn("run", F.regexp_extract("source_id", "/name=([^/]+)/", 1))
+
+
+def _lines(spark: SparkSession, d: str, metrics: list[str], line, head: str = "", tail: str = "", gap: str = "\n") -> DataFrame:
+    """(name, value): the file of each run, a line per reading in order of steps."""
+    rows = event_readings(spark, d).filter(F.col("metric").isin(metrics)).select("run_id", "step", line.alias("line"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "line"))), lambda x: x["line"]), gap)
+    return rows.groupBy(F.col("run_id").alias("name")).agg(F.concat(F.lit(head), body, F.lit(tail)).alias("value"))
+
+
+def _cell(metric: str):
+    return F.when(F.col("metric") == metric, F.col("value").cast("string")).otherwise("")
+
+
+def _of(*metrics: str) -> str:
+    listed = ", ".join(f"'{m}'" for m in metrics)
+    return f"with {EVENTS} select run_id as run, metric, step, round(value, 6) as value from e where metric in ({listed})"
+
+
+def _read_values(found: DataFrame) -> DataFrame:
+    return found.select("run", "metric", "step", _r(F.col("value"), "value"))
+
+
+@query(_of("train/loss", "lr"))
+def read_csv_logs(spark, d):
+    line = F.concat_ws(",", "step", _cell("train/loss"), _cell("lr"))
+    return _read_values(_read_back(spark, _lines(spark, d, ["train/loss", "lr"], line, "step,loss,learning_rate\n"), "csv"))
+
+
+@query(_of("train/loss"))
+def read_decimal_comma_logs(spark, d):
+    """Semicolons between cells and commas in numbers."""
+    line = F.concat_ws(";", "step", F.translate(F.col("value").cast("decimal(18,6)").cast("string"), ".", ","))
+    return _read_values(_read_back(spark, _lines(spark, d, ["train/loss"], line, "step;loss\n"), "csv"))
+
+
+@query(_of("train/loss", "eval/loss"))
+def read_jsonl_logs(spark, d):
+    key = F.when(F.col("metric") == "train/loss", "loss").otherwise("eval_loss")
+    line = F.concat(F.lit('{"step": '), "step", F.lit(', "'), key, F.lit('": '), F.col("value").cast("string"), F.lit("}"))
+    return _read_values(_read_back(spark, _lines(spark, d, ["train/loss", "eval/loss"], line), "jsonl"))
+
+
+@query(_of("train/loss", "eval/loss", "lr", "grad_norm"))
+def read_trainer_state_logs(spark, d):
+    key = F.create_map(*map(F.lit, ("train/loss", "loss", "eval/loss", "eval_loss", "lr", "learning_rate", "grad_norm", "grad_norm")))[F.col("metric")]
+    line = F.concat(F.lit('{"step": '), "step", F.lit(', "'), key, F.lit('": '), F.col("value").cast("string"), F.lit("}"))
+    return _read_values(_read_back(spark, _lines(spark, d, ["train/loss", "eval/loss", "lr", "grad_norm"], line, '{"log_history": [', "]}", ", "), "hf"))
+
+
+@query(f"with {EVENTS} select run_id as run, metric, step, round(value, 6) as value, step * 2.5::double as wall_time from e where metric in ('train/loss', 'eval/loss')")
+def read_history_logs(spark, d):
+    """A tracker's history: logging steps, seconds since the start, bookkeeping columns."""
+    line = F.concat_ws(",", "step", (F.col("step") * 2.5).cast("string"), F.lit("1"), _cell("train/loss"), _cell("eval/loss"))
+    found = _read_back(spark, _lines(spark, d, ["train/loss", "eval/loss"], line, "_step,_runtime,_own,train/loss,eval/loss\n"), "wandb")
+    return found.select("run", "metric", "step", _r(F.col("value"), "value"), "wall_time")
+
+
+@query(f"with {EVENTS} select 'user ' || run_id as run_id, metric, step, round(value, 6) as value from e where metric = 'train/loss'")
+def read_chart_logs(spark, d):
+    """A chart's export: the run's name is in the header, beside bands that are left out."""
+    rows = _lines(spark, d, ["train/loss"], F.concat_ws(",", "step", F.col("value").cast("string"), F.lit("0"), F.lit("9")))
+    name = F.concat(F.lit("user "), "name", F.lit(" - train/loss"))
+    head = F.concat(F.lit('Step,"'), name, F.lit('","'), name, F.lit('__MIN","'), name, F.lit('__MAX"\n'))
+    return _read_back(spark, rows.select("name", F.concat(head, "value").alias("value")), "wandb").select("run_id", "metric", "step", _r(F.col("value"), "value"))
+
+
 # --- the flagship: setbacks of every curve ---
 
 
