@@ -84,6 +84,16 @@ def gate(findings: DataFrame, sources: DataFrame | None = None, fail_on: str | N
     return int(fail_on is not None and findings.filter(F.col("sev_rank") <= SEVERITIES[fail_on]).limit(1).count() > 0)
 
 
+def timing_ratios(readings: DataFrame, axis: str = "step") -> DataFrame:
+    """Per run the ratio of late to early seconds per step, null where they cannot be compared."""
+    import pandas as pd
+
+    from curvelens.operators import detectors
+
+    found = detectors.grouped(readings, lambda run, key: pd.DataFrame([{"ratio": detectors.timing(run)["ratio"]}]), "ratio double", axis)
+    return found.select(F.nanvl("ratio", F.lit(None).cast("double")).alias("ratio"))
+
+
 def terminal(document: dict, colour: bool = False) -> str:
     """A run's report as text."""
     codes = {"error": "31", "warning": "33", "info": "36"}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.model import READINGS
+from curvelens.operators import project
 from curvelens.sources import binary, text
 from curvelens.sources.text import Log, Unreadable
 
@@ -37,8 +38,21 @@ def detect(name: str, data: bytes) -> str:
     raise Unreadable(f"no format is known for {name}")
 
 
-def read_bytes(name: str, data: bytes, fmt: str | None = None, step_key: str | None = None, single_run: str | None = None) -> Log:
+#: Formats with columns of which one can be named as the step, and formats that hold several runs.
+STEP_KEYED = ["csv", "jsonl", "wandb", "wandb-native", "lightning", "mlflow"]
+SEVERAL_RUNS = ["wandb", "tensorboard", "mlflow", "mlflow-files"]
+
+
+def check_options(fmt: str, step_key: str | None = None, single_run: str | None = None, run: str | None = None) -> None:
+    """Refuses options that mean nothing for a format, as a silent one would give other readings than asked for."""
+    for given, formats, what in ((step_key, STEP_KEYED, "a step key"), (single_run, ["wandb"], "the run of a chart"), (run, SEVERAL_RUNS, "a run")):
+        if given is not None and fmt not in formats:
+            raise Unreadable(f"{what} can be given for {', '.join(formats)}, not for {fmt}")
+
+
+def read_bytes(name: str, data: bytes, fmt: str | None = None, step_key: str | None = None, single_run: str | None = None, run: str | None = None) -> Log:
     fmt = fmt or detect(name, data)
+    check_options(fmt, step_key, single_run, run)
     decoded = "" if fmt in ("mlflow", "wandb-native", "tensorboard") else data.decode("utf-8-sig", "replace")
     if fmt == "wandb" and text.is_chart(text.records(decoded)[0]):
         fmt = "chart"
@@ -63,20 +77,25 @@ def read_bytes(name: str, data: bytes, fmt: str | None = None, step_key: str | N
 
 def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "content")
+    found = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    # a log has the size that it had when the folder was listed: bytes that are appended meanwhile wait
+    return found.select("path", F.expr("substring(content, 1, cast(length as int))").alias("content"))
 
 
-def load(spark: SparkSession, path: str, fmt: str | None = None, step_key: str | None = None, single_run: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Readings of every log under a path."""
-    return _parsed(files(spark, path, pattern), path, fmt, step_key, single_run, READINGS, False)
+def load(spark: SparkSession, path: str, fmt: str | None = None, step_key: str | None = None, single_run: str | None = None, pattern: str | None = None, run: str | None = None) -> DataFrame:
+    """Readings of every log under a path; with `run`, of the run so named or the only one that begins so."""
+    found = _parsed(files(spark, path, pattern), path, fmt, step_key, single_run, run, READINGS, False)
+    return found if run is None else found.join(project.select_run(found, run), ["source_id", "run_id"], "left_semi")
 
 
-def load_sources(spark: SparkSession, path: str, fmt: str | None = None, step_key: str | None = None, single_run: str | None = None, pattern: str | None = None) -> DataFrame:
+def load_sources(spark: SparkSession, path: str, fmt: str | None = None, step_key: str | None = None, single_run: str | None = None, pattern: str | None = None, run: str | None = None) -> DataFrame:
     """A row per log: its format, axis, and what could not be read; an error instead of readings."""
-    return _parsed(files(spark, path, pattern), path, fmt, step_key, single_run, SOURCES, True)
+    return _parsed(files(spark, path, pattern), path, fmt, step_key, single_run, run, SOURCES, True)
 
 
-def _parsed(found: DataFrame, root: str, fmt, step_key, single_run, schema: str, about: bool) -> DataFrame:
+def _parsed(found: DataFrame, root: str, fmt, step_key, single_run, run, schema: str, about: bool) -> DataFrame:
+    if fmt is not None:
+        check_options(fmt, step_key, single_run, run)
     columns = [c.split(" ")[0] for c in schema.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
     types = [kinds[c.split(" ")[1]] for c in schema.split(", ")]
@@ -104,7 +123,7 @@ def _parsed(found: DataFrame, root: str, fmt, step_key, single_run, schema: str,
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if (out := emit(p, lambda p=p, data=data: read_bytes(p.rpartition("/")[2], data, fmt, step_key, single_run))) is not None:
+                if (out := emit(p, lambda p=p, data=data: read_bytes(p.rpartition("/")[2], data, fmt, step_key, single_run, run))) is not None:
                     yield out
 
     return found.mapInArrow(single, schema)
