@@ -10,11 +10,17 @@ from curvelens.model import SERIES, finite
 
 
 def steps(readings: DataFrame) -> DataFrame:
-    """Per series and step: readings, readable ones, distinct readable values, the first value, the clock."""
-    clock = F.when(F.count_distinct("wall_time") + F.max(F.col("wall_time").isNull().cast("int")) == 1, F.max("wall_time"))
+    """Per series and step: readings, readable ones, whether readable values differ, the first value, the clock, whether clocks differ.
+
+    Extremes tell whether values differ: unlike counts of distinct values they need no copy of every row per counted
+    column. NaN is the greatest value and equal to itself.
+    """
+    n, clocks = F.count(F.lit(1)), F.count("wall_time")
+    differ = lambda c: F.coalesce(F.min(c) < F.max(c), F.lit(False))
     return readings.groupBy(*SERIES, "step").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("readable"), F.count_distinct("value").alias("distinct_values"),
-        F.min_by("value", "seq").alias("first_value"), clock.alias("wall_time"), F.min_by("epoch", "seq").alias("epoch"),
+        n.alias("n"), F.count("value").alias("readable"), differ("value").alias("unequal"), F.min_by("value", "seq").alias("first_value"),
+        F.when((clocks == n) & ~differ("wall_time"), F.max("wall_time")).alias("wall_time"), F.min_by("epoch", "seq").alias("epoch"),
+        (differ("wall_time") | ((clocks > 0) & (clocks < n))).alias("unequal_times"),
     )
 
 
@@ -24,21 +30,20 @@ def observations(readings: DataFrame) -> DataFrame:
     A step with an unreadable reading is a gap (NULL); unequal clocks at a step are NULL; a
     series with two readable values at any step is left out as a whole.
     """
-    per_step = steps(readings)
-    worst = F.max("distinct_values").over(Window.partitionBy(*SERIES))
-    kept = per_step.withColumn("worst", worst).filter("worst <= 1")
+    # dealt by series once: the grouping by step and the window over the series both keep to that
+    per_step = steps(readings.select(*SERIES, "step", "seq", "value", "wall_time", "epoch").repartition(*SERIES))
+    kept = per_step.withColumn("conflict", F.max("unequal").over(Window.partitionBy(*SERIES))).filter("not conflict")
     return kept.select(*SERIES, "step", F.when(F.col("readable") == F.col("n"), F.col("first_value")).alias("value"), "wall_time", "epoch")
 
 
 def conflicting(readings: DataFrame) -> DataFrame:
     """Series that have a step with unequal readable values."""
-    return steps(readings).groupBy(*SERIES).agg(F.count_if(F.col("distinct_values") > 1).alias("conflicting_steps")).filter("conflicting_steps > 0")
+    return steps(readings).groupBy(*SERIES).agg(F.count_if("unequal").alias("conflicting_steps")).filter("conflicting_steps > 0")
 
 
 def repeated_steps(readings: DataFrame) -> DataFrame:
     """Steps with several readings, and whether values or clocks disagree."""
-    clocks = readings.groupBy(*SERIES, "step").agg((F.count_distinct("wall_time") + F.max(F.col("wall_time").isNull().cast("int")) > 1).alias("conflicting_times"))
-    return steps(readings).filter("n > 1").join(clocks, [*SERIES, "step"]).select(*SERIES, "step", "n", (F.col("distinct_values") > 1).alias("conflicting_values"), "conflicting_times")
+    return steps(readings).filter("n > 1").select(*SERIES, "step", "n", F.col("unequal").alias("conflicting_values"), F.col("unequal_times").alias("conflicting_times"))
 
 
 def summary(readings: DataFrame) -> DataFrame:
@@ -46,7 +51,7 @@ def summary(readings: DataFrame) -> DataFrame:
     per_step = steps(readings)
     return per_step.groupBy(*SERIES).agg(
         F.sum("n").alias("readings"), F.sum("readable").alias("readable"), F.count(F.lit(1)).alias("distinct_steps"), F.min("step").alias("first_step"), F.max("step").alias("last_step"),
-        F.count_if(F.col("readable") < F.col("n")).alias("unreadable_steps"), (F.max("distinct_values") > 1).alias("excluded"),
+        F.count_if(F.col("readable") < F.col("n")).alias("unreadable_steps"), F.max("unequal").alias("excluded"),
     )
 
 
@@ -86,6 +91,7 @@ def select_run(readings: DataFrame, wanted: str) -> DataFrame:
 
 
 def complete(readings: DataFrame) -> DataFrame:
-    """Per source: whether nothing is unreadable or conflicting, with the counts."""
+    """Per source: whether nothing is unreadable and no step has unequal values or clocks, with the counts."""
     per_step = steps(readings)
-    return per_step.groupBy("source_id").agg(F.sum(F.col("n") - F.col("readable")).alias("unreadable"), F.count_if(F.col("distinct_values") > 1).alias("conflicts"), F.count_if(F.col("n") > 1).alias("repeats")).withColumn("complete", (F.col("unreadable") == 0) & (F.col("conflicts") == 0))
+    told = per_step.groupBy("source_id").agg(F.sum(F.col("n") - F.col("readable")).alias("unreadable"), F.count_if("unequal").alias("conflicts"), F.count_if(F.col("n") > 1).alias("repeats"), F.count_if("unequal_times").alias("times"))
+    return told.withColumn("complete", (F.col("unreadable") == 0) & (F.col("conflicts") == 0) & (F.col("times") == 0)).drop("times")

@@ -82,13 +82,33 @@ def endings(readings: DataFrame, metric: str = "train/loss") -> DataFrame:
     return grouped(readings, one, "source_id string, run_id string, ending string, gave_back double, tallest double")
 
 
-def wilson(hits, n, z: float = 1.959964):
+def wilson(hits, n, z: float = 1.96):
     """95 % interval of a share, as expressions."""
     p, zz = hits / n, z * z
     mid, half = (p + zz / (2 * n)) / (1 + zz / n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
     return F.greatest(mid - half, F.lit(0.0)), F.least(mid + half, F.lit(1.0))
 
 
+def census(ends: DataFrame, found: DataFrame, planted: DataFrame) -> DataFrame:
+    """Per ending and planted fault: runs, those with findings of their own, and those whose fault was found.
+
+    ends has a row per run, found any number, planted (run, fault, caught) one per run and fault.
+    """
+    run = ["source_id", "run_id"]
+    own = found.groupBy(*run).agg(F.count(F.lit(1)).alias("findings"))
+    every = planted.groupBy(*run, "fault").agg(F.max("caught").alias("caught"))
+    return ends.select(*run, "ending").join(own, run, "left").join(every, run).groupBy("ending", "fault").agg(F.count(F.lit(1)).alias("runs"), F.count("findings").alias("with_findings"), F.count_if("caught").alias("caught"))
+
+
+def label_clusters(labels: DataFrame, keys: list[str], gap: float = 26.0) -> DataFrame:
+    """Labels (x, text) of a chart in clusters, each less than `gap` pixels after the one before: one line of text each."""
+    chart = Window.partitionBy(*keys).orderBy("x", "text")
+    apart = F.coalesce(F.col("x") - F.lag("x").over(chart) >= gap, F.lit(True))
+    numbered = labels.withColumn("apart", apart.cast("int")).withColumn("cluster", F.sum("apart").over(chart.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda p: p["text"]), " / ")
+    return numbered.groupBy(*keys, "cluster").agg(F.min("x").alias("first_x"), F.max("x").alias("last_x"), F.count(F.lit(1)).alias("n"), text.alias("text"))
+
+
 def purge_restarts(events: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (seq, step, restart) without those that a later restart at their step or before takes back; restarts go too."""
     later = Window.partitionBy(*keys).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)

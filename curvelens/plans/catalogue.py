@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from curvelens.functions import names, parse, windows
 from curvelens.model import DETECTORS
 from curvelens.operators import curves as kernels
-from curvelens.operators import detectors, joins, project, studies
+from curvelens.operators import detectors, joins, project, studies, timing
 from curvelens.plans.series import CURVES, EVENTS, GAPPED, ORDERS, curves, event_readings, order_readings, table
 from curvelens.sources import load
 from curvelens.streaming.watch import follow, watch
@@ -449,21 +449,16 @@ z as (select *, least(greatest(5, cast(floor(n * 0.2) as bigint)), n // 2) as wi
 q as (select run_id, any_value(n) as observations, any_value(win) as win, median(s) filter (k < win) as early, median(s) filter (k >= n - win) as late, bool_and(s is not null) filter (k < win or k >= n - win) as good, count(*) filter (s is null) as invalid from z group by 1)
 select run_id, observations, invalid, win, round(case when good then early end, 6) as early, round(case when good then late end, 6) as late, round(case when good then late / early end, 6) as ratio from q""")
 def timing_evidence(spark, d):
-    def one(run, key):
-        t = detectors.timing(run)
-        return pd.DataFrame([{"run_id": key[1], "observations": t["observations"], "invalid": t["invalid"], "win": t["window"], "early": t.get("early", np.nan), "late": t.get("late", np.nan), "ratio": t["ratio"] if t["ratio"] is not None else np.nan}] if t["source"] else [], columns=["run_id", "observations", "invalid", "win", "early", "late", "ratio"])
-
-    rows = event_readings(spark, d).filter("metric = 'train/loss'")
-    out = detectors.grouped(rows, one, "run_id string, observations long, invalid long, win long, early double, late double, ratio double")
-    return out.select("run_id", "observations", "invalid", "win", *(F.round(F.nanvl(c, F.lit(None).cast("double")), 6).alias(c) for c in ("early", "late", "ratio")))
+    out = timing.timings(event_readings(spark, d).filter("metric = 'train/loss'"))
+    return out.select("run_id", "observations", "invalid", "win", *(F.round(c, 6).alias(c) for c in ("early", "late", "ratio")))
 
 
 _SQL["throughput"] = _SQL["timing_evidence"].replace("select run_id, observations, invalid, win, round(case when good then early end, 6) as early, round(case when good then late end, 6) as late, round(case when good then late / early end, 6) as ratio from q", "select run_id, 'Throughput regression' as title, win, round(late / early, 6) as ratio from q where good and late / early >= 1.4")
 
 
 def _throughput(spark, d):
-    found = detectors.run_all(event_readings(spark, d).filter("metric = 'train/loss'"), {"throughput": detectors.throughput})
-    return found.select("run_id", "title", F.col("evidence")["window"].cast("long").alias("win"), _r(F.col("evidence")["ratio"].cast("double"), "ratio"))
+    found = timing.timings(event_readings(spark, d).filter("metric = 'train/loss'")).filter("ratio >= 1.4")
+    return found.select("run_id", F.lit("Throughput regression").alias("title"), "win", _r(F.col("ratio"), "ratio"))
 
 
 _QUERIES["throughput"] = _throughput
@@ -522,6 +517,52 @@ def nonfinite_findings(spark, d):
     return found.select("run_id", "title", "severity", "step_start", "step_end", F.col("evidence")["count"].cast("long").alias("n"))
 
 
+@query(f"""with recursive {_FOLD}, sp as (select run_id, max(step) - min(step) as span from t group by 1),
+  sb as (select run_id, count(*) as findings from es join sp using (run_id) where recovered and j - i + 1 >= win and (last_step - first_step)::double / span >= 0.01 group by 1),
+  l as (select *, start - best > greatest(6 * noise, 4 * start_noise) as moved, (final - best) / (start - best) as back from lx),
+  en as (select run_id, case when not moved then case when start > 0 and final >= 1.5 * start then 'bad' else 'no progress' end when back < 0.1 then 'good' when back >= 0.5 then 'bad' else 'middling' end as ending from l),
+  f(fault, a, b, up) as (values {_FV})
+  select ending, fault, count(*) as runs, count(findings) as with_findings, count(*) filter (up is null) as caught from en left join sb using (run_id) cross join f group by 1, 2""")
+def endings_findings_faults(spark, d):
+    """How runs end, whether they have setbacks, and whether a fault planted in them is found as no number."""
+    rows = curves(spark, d)
+    found = detectors.run_all(rows, {"setbacks": detectors.setbacks}).filter("title in ('Setback', 'Early rise')")
+    variants = studies.fault_variants(rows)
+    marked = variants.withColumn("run_id", F.concat_ws("|", "run_id", "fault")).withColumn("seq", F.col("step")).withColumn("wall_time", F.lit(None).cast("double"))
+    caught = detectors.run_all(marked, {"divergence": detectors.divergence}).filter("title = 'Non-finite training loss'").select("source_id", F.split("run_id", "[|]")[0].alias("run_id"), F.split("run_id", "[|]")[1].alias("fault"), F.lit(True).alias("hit"))
+    planted = variants.select("source_id", "run_id", "fault").distinct().join(caught, ["source_id", "run_id", "fault"], "left").select("source_id", "run_id", "fault", F.coalesce("hit", F.lit(False)).alias("caught"))
+    return studies.census(studies.endings(rows), found, planted)
+
+
+@query(f"""with {EVENTS}, c as (select metric, count(*) filter (value > 60)::double as k, count(*)::double as n from e group by 1), w as (select *, k / n as p, 1.96::double * 1.96::double as zz from c)
+select metric, cast(k as bigint) as part, cast(n as bigint) as whole, round(100 * greatest(0, (p + zz / (2 * n)) / (1 + zz / n) - 1.96::double * sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)), 4) as low, round(100 * least(1, (p + zz / (2 * n)) / (1 + zz / n) + 1.96::double * sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)), 4) as high from w""")
+def wilson_shares(spark, d):
+    counted = event_readings(spark, d).groupBy("metric").agg(F.count_if(F.col("value") > 60).alias("part"), F.count(F.lit(1)).alias("whole"))
+    low, high = studies.wilson(F.col("part").cast("double"), F.col("whole").cast("double"))
+    return counted.select("metric", "part", "whole", F.round(100 * low, 4).alias("low"), F.round(100 * high, 4).alias("high"))
+
+
+@query(f"""with {EVENTS}, o as (select run_id, metric, max(value) as v from e where run_id::bigint % 13 <> 1 group by 1, 2), n as (select run_id, metric, max(value) * case when run_id::bigint % 7 = 0 then 1 + 1e-9::double when run_id::bigint % 7 = 1 then 1 + 1e-12::double else 1::double end as v from e where run_id::bigint % 11 <> 2 group by 1, 2, run_id)
+select run_id, metric, round(o.v, 6) as old, round(n.v, 6) as new from o full join n using (run_id, metric) where o.v is null or n.v is null or abs(o.v - n.v) > greatest(1e-12, 1e-10 * greatest(abs(o.v), abs(n.v)))""")
+def report_diff(spark, d):
+    """Two reports of the runs' highest values: some runs are missing, some changed beyond the tolerance, some within it."""
+    best = event_readings(spark, d).groupBy("run_id", "metric").agg(F.max("value").alias("value"))
+    left = lambda by: F.col("run_id").cast("long") % by
+    factor = F.when(left(7) == 0, 1 + 1e-9).when(left(7) == 1, 1 + 1e-12).otherwise(1.0)
+    new = best.filter(left(11) != 2).withColumn("value", F.col("value") * factor)
+    return studies.differences(best.filter(left(13) != 1), new, ["run_id", "metric"], "value").select("run_id", "metric", _r(F.col("old"), "old"), _r(F.col("new"), "new"))
+
+
+@query(f"""with {EVENTS}, m as (select run_id, max(step) as last from e group by 1), l as (select run_id, step * 920.0::double / greatest(last, 1) as x, cast(event_key as varchar) as text from (select *, seq as event_key from e) join m using (run_id) where value > 50),
+  a as (select *, case when x - lag(x) over w >= 26 then 1 when lag(x) over w is null then 1 else 0 end as apart from l window w as (partition by run_id order by x, text)), c as (select *, sum(apart) over (partition by run_id order by x, text rows between unbounded preceding and current row) as cluster from a)
+  select run_id, cast(cluster as bigint) as cluster, round(min(x), 6) as first_x, round(max(x), 6) as last_x, count(*) as n, string_agg(text, ' / ' order by x, text) as text from c group by 1, 2""")
+def label_clusters(spark, d):
+    rows = event_readings(spark, d)
+    last = F.greatest(F.max("step").over(Window.partitionBy("run_id")), F.lit(1))
+    labels = rows.withColumn("x", F.col("step") * 920.0 / last).filter("value > 50").select("run_id", "x", F.col("seq").cast("string").alias("text"))
+    return studies.label_clusters(labels, ["run_id"]).select("run_id", "cluster", _r(F.col("first_x"), "first_x"), _r(F.col("last_x"), "last_x"), "n", "text")
+
+
 _CHART = f"{CURVES}, c as (select run_id, step, value, cast(floor(case when max(step) over (partition by run_id) > min(step) over (partition by run_id) then (step - min(step) over (partition by run_id))::double / (max(step) over (partition by run_id) - min(step) over (partition by run_id)) else 0 end * 200) as bigint) as col from t)"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvelens.model import SEVERITIES
-from curvelens.operators import project, studies
+from curvelens.operators import project, studies, timing
 
 SCHEMA_VERSION = 1
 
@@ -86,12 +86,8 @@ def gate(findings: DataFrame, sources: DataFrame | None = None, fail_on: str | N
 
 def timing_ratios(readings: DataFrame, axis: str = "step") -> DataFrame:
     """Per run the ratio of late to early seconds per step, null where they cannot be compared."""
-    import pandas as pd
-
-    from curvelens.operators import detectors
-
-    found = detectors.grouped(readings, lambda run, key: pd.DataFrame([{"ratio": detectors.timing(run)["ratio"]}]), "ratio double", axis)
-    return found.select(F.nanvl("ratio", F.lit(None).cast("double")).alias("ratio"))
+    runs = readings.select("source_id", "run_id").distinct()
+    return runs.join(timing.timings(readings, axis), ["source_id", "run_id"], "left").select("source_id", "run_id", "ratio")
 
 
 def terminal(document: dict, colour: bool = False) -> str:

@@ -52,7 +52,7 @@ def check_options(fmt: str, step_key: str | None = None, single_run: str | None
 
 def read_bytes(name: str, data: bytes, fmt: str | None = None, step_key: str | None = None, single_run: str | None = None, run: str | None = None) -> Log:
     fmt = fmt or detect(name, data)
-    check_options(fmt, step_key, single_run, run)
+    check_options("wandb" if fmt == "chart" else fmt, step_key, single_run, run)
     decoded = "" if fmt in ("mlflow", "wandb-native", "tensorboard") else data.decode("utf-8-sig", "replace")
     if fmt == "wandb" and text.is_chart(text.records(decoded)[0]):
         fmt = "chart"

@@ -175,3 +175,16 @@ def test_write_and_text(tmp_path):
         report.write(str(tmp_path / "o"), "y", (str(tmp_path / "o"),))
     assert report.visible("a\x1b‮b") == "a\\u001b\\u202eb"
     assert report.safe({"a": float("nan"), "b": [float("inf"), 1]}) == {"a": "nan", "b": ["inf", 1]}
+
+
+def test_tables_of_runs_and_ambiguous_delimiters_are_refused():
+    import pytest
+
+    from curvelens.sources import text
+
+    with pytest.raises(text.Unreadable, match="one row per run"):
+        text.sniff_csv("Name,State,train/loss\na,finished,0.1\n")
+    assert text.sniff_csv("Name,loss\na,1\n") == "csv" and not text.is_runs_table(["Name", "State", "step"])
+    with pytest.raises(text.Unreadable, match="delimiters"):
+        text.delimiter("a,b;c\n1,2;3\n4,5;6\n")
+    assert text.delimiter("step;loss\n1;0,5\n2;0,25\n") == ";" and text.delimiter("step,loss\n") == ","
