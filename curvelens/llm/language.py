@@ -8,11 +8,13 @@ language name on ties). A text without letters is rejected, and one farther from
 than a bound for its length: cosines grow with length, so each octave of letters has a bound of
 its own, a little below what nearly all labelled texts of that octave and the two beside it have.
 
-Plan. Document frequencies are counted over all labelled texts, summed per task and then in
-Spark by dimension. Centroids come from a bounded sample: about SAMPLE texts per language, by a hash
-of the id; what the driver gets are sparse vectors of at most DIMENSIONS entries, not texts. Bounds come
-from other labelled texts, about JUDGED per language, of which the driver gets octave and cosine.
-Prediction is one narrow Arrow pass with a broadcast matrix of DIMENSIONS x centroids.
+Plan. Document frequencies are counted over all labelled texts, by language, summed per task and then
+in Spark by dimension. Centroids are learned from all labelled texts too: ROUNDS passes in which each text
+goes to the nearest centroid of its own language and the next centroids are the means of theirs. The first
+pass starts from fixed random directions at right angles to the language's mean; a cluster without texts goes. Sums are of
+whole numbers (weights in steps of 1 / STEPS), so they don't depend on how rows are dealt. The driver
+gets DIMENSIONS sums per centroid, no texts. Bounds come from a sample of labelled texts, about JUDGED per language, of
+which the driver gets octave and cosine. Prediction is one narrow Arrow pass with a broadcast matrix of DIMENSIONS x centroids.
 Statistics and predictions use whole texts.
 
 Defined results. Null texts and texts without a letter are `und` with score 0 and rejected.
@@ -27,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +37,15 @@ from curvelens.llm import bytescan as scan
 from curvelens.llm.common import in_small_batches, lean, named, opened, own, restored, share, table, text_of, with_own
 
 DIMENSIONS = 1 << 13
-#: Labelled texts per language that centroids are made from, about (a hash of the id decides).
-SAMPLE = 600
 #: Labelled texts per language that the bounds of rejection are made from, about; and their shape.
 JUDGED = 6000
 FARTHEST, SLACK, LEAST_JUDGED = 0.001, 0.9, 200
 OCTAVES = 40
-CLUSTERS = 4
+CLUSTERS, ROUNDS = 4, 3
 #: Texts whose dense counts are in memory at a time.
 ROWS = 64
+#: Steps of a weight in sums: those of ROWS texts are exact in single precision.
+STEPS = 1 << 17
 UNKNOWN = "und"
 _FACTORS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 
@@ -137,70 +140,89 @@ def _weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / np.maximum(norm, 1e-12)[:, None]
 
 
-def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from the farthest points; unit centroids."""
-    centres = [x.mean(axis=0)]
-    near = x @ centres[0]
-    for _ in range(min(k, len(x)) - 1):
-        centres.append(x[int(np.argmin(near))])
-        near = np.maximum(near, x @ centres[-1])
-    c = np.array(centres)
-    for _ in range(rounds):
-        own = np.argmax(x @ c.T, axis=1)
-        c = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None]
-    return c.astype(np.float32)
+def _directions(mean: np.ndarray, k: int) -> np.ndarray:
+    """Fixed random directions at right angles to the mean."""
+    mean = mean / max(float(np.linalg.norm(mean)), 1e-12)
+    signs = np.array([np.random.default_rng(j).choice([-1.0, 1.0], DIMENSIONS) for j in range(k)]).reshape(k, DIMENSIONS)
+    return (signs - np.outer(signs @ mean, mean)).astype(np.float32)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df, n = np.zeros(DIMENSIONS, np.int64), 0
+    """Of each language the texts (slot -1) and the texts with each n-gram."""
+    df: dict[str, np.ndarray] = {}
     for batch in batches:
         for piece in scan.pieces(batch, "text"):
+            langs, at = np.array(piece.column("lang").to_pylist(), object), 0
             for counts in count_blocks(piece.column("text")):
-                df += np.count_nonzero(counts, axis=0)
-            n += piece.num_rows
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMENSIONS), pa.int32()), pa.array(np.concatenate([[n], df]))], ["slot", "n"])
-
-
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                here, at = langs[at : at + len(counts)], at + len(counts)
+                for lang in set(here.tolist()):
+                    own = counts[here == lang]
+                    total = df.setdefault(lang, np.zeros(DIMENSIONS + 1, np.int64))
+                    total += np.concatenate([[len(own)], np.count_nonzero(own, axis=0)])
+    for lang, total in df.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), pa.array(np.arange(-1, DIMENSIONS), pa.int32()), pa.array(total)], ["lang", "slot", "n"])
+
+
+def _sums(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each centroid the texts of its language nearest to it (slot -1) and the sums of their weights, in steps."""
+    names, of = np.unique(np.array(model.languages, object), return_inverse=True)
+    known = pa.array(names, pa.string())
+    totals = np.zeros((len(of), DIMENSIONS + 1), np.int64)
     for batch in batches:
         for piece in scan.pieces(batch, "text"):
-            rows = [c for counts in count_blocks(piece.column("text")) for c in counts]
-            some = [np.flatnonzero(c) for c in rows]
-            yield pa.RecordBatch.from_arrays([piece.column("lang"), piece.column("hash"), pa.array([s.astype(np.uint16).tobytes() for s in some], pa.binary()), pa.array([c[s].astype(np.uint32).tobytes() for c, s in zip(rows, some, strict=True)], pa.binary())], ["lang", "hash", "slots", "counts"])
+            own, at = pc.index_in(piece.column("lang"), known).to_numpy(zero_copy_only=False), 0
+            for counts in count_blocks(piece.column("text")):
+                here, at = own[at : at + len(counts)], at + len(counts)
+                weights = _weighed(counts, model.idf)
+                near = np.where(of == here[:, None], weights @ model.centroids.T, -np.inf)
+                to = np.argmax(near, axis=1)
+                some = np.unique(to)
+                chosen = (some[:, None] == to).astype(np.float32)
+                totals[some, 1:] += (chosen @ np.rint(weights * STEPS)).astype(np.int64)
+                totals[some, 0] += chosen.sum(axis=1).astype(np.int64)
+    for j in np.flatnonzero(totals[:, 0]).tolist():
+        slots = np.flatnonzero(totals[j])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), j), pa.int32()), pa.array(slots - 1, pa.int32()), pa.array(totals[j, slots])], ["centroid", "slot", "total"])
+
+
+def _next(rows: DataFrame, model: Model) -> Model:
+    """The centroids' next places: the means of the texts that are nearest to them in their language."""
+    shared = share(rows.sparkSession, model)
+    sums = rows.select("lang", "text").mapInArrow(lean(lambda batches: _sums(opened(shared), batches)), "centroid int, slot int, total long")
+    found = sums.groupBy("centroid", "slot").agg(F.sum("total").alias("total")).toArrow()
+    shared.destroy()
+    totals = np.zeros((len(model.languages), DIMENSIONS + 1))
+    totals[found.column("centroid").to_numpy(), found.column("slot").to_numpy() + 1] = found.column("total").to_numpy()
+    left = np.flatnonzero(totals[:, 0])
+    centroids = totals[left, 1:]
+    centroids /= np.maximum(np.linalg.norm(centroids, axis=1), 1e-12)[:, None]
+    return model._replace(centroids=centroids.astype(np.float32), languages=[model.languages[j] for j in left])
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = CLUSTERS, rounds: int = ROUNDS) -> Model:
     rows = in_small_batches(labelled).select(named(lang_col).cast("string").alias("lang"), F.xxhash64(named(id_col).cast("string"), F.lit(4)).alias("hash"), text_of(text_col)).filter("lang is not null and text is not null")
-    sums = rows.select("text").mapInArrow(lean(_frequencies), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(DIMENSIONS + 1)
-    for x in sums:
-        df[x["slot"] + 1] = x["n"]
+    sums = rows.select("lang", "text").mapInArrow(lean(_frequencies), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    frequencies: dict[str, np.ndarray] = {lang: np.zeros(DIMENSIONS + 1) for lang in sorted(sums.column("lang").unique().to_pylist())}
+    for lang, own in frequencies.items():
+        part = sums.filter(pc.equal(sums.column("lang"), lang))
+        own[part.column("slot").to_numpy() + 1] = part.column("n").to_numpy()
+    sizes = {lang: int(own[0]) for lang, own in frequencies.items()}
+    df = sum(frequencies.values(), np.zeros(DIMENSIONS + 1))
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
-    sizes = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def about(n: int, first: bool) -> Column:
-        """About n texts of each language, from the low or the high hashes: small languages' meet."""
+    def about(n: int) -> Column:
+        """About n texts of each language, by a hash of the id."""
         part, place = F.lit(False), F.pmod("hash", F.lit(1_000_000))
         for lang, size in sizes.items():
-            share = min(1_000_000, -(-1_000_000 * n // size))
-            part = part | ((F.col("lang") == lang) & (place < share if first else place >= 1_000_000 - share))
+            part = part | ((F.col("lang") == lang) & (place >= 1_000_000 - min(1_000_000, -(-1_000_000 * n // size))))
         return part
 
-    vectors: dict[str, list] = {}
-    for x in rows.filter(about(sample, True)).mapInArrow(lean(_vectors), "lang string, hash long, slots binary, counts binary").collect():
-        vectors.setdefault(x["lang"], []).append((x["hash"], bytes(x["slots"]), bytes(x["counts"])))
-    centroids, languages = [np.zeros((0, DIMENSIONS), np.float32)], []
-    for lang in sorted(vectors):
-        dense = np.zeros((len(vectors[lang]), DIMENSIONS), np.int64)
-        for k, (_, slots, counts) in enumerate(sorted(vectors[lang])):
-            dense[k, np.frombuffer(slots, np.uint16)] = np.frombuffer(counts, np.uint32)
-        centroids.append(_clusters(_weighed(dense, idf), clusters))
-        languages += [lang] * len(centroids[-1])
-    model = Model(idf, np.concatenate(centroids), languages, np.zeros(OCTAVES))
-    if not languages:
+    centroids = [np.zeros((0, DIMENSIONS), np.float32), *(_directions(own[1:] * idf, clusters) for own in frequencies.values())]
+    model = Model(idf, np.concatenate(centroids), [lang for lang in sizes for _ in range(clusters)], np.zeros(OCTAVES))
+    if not sizes:
         return model
+    for _ in range(rounds):
+        model = _next(rows, model)
     shared = share(labelled.sparkSession, model)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +231,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 _, score, octaves = nearest(piece.column("text"), opened(shared))
                 yield pa.RecordBatch.from_arrays([pa.array(octaves), pa.array(score)], ["octave", "score"]).filter(pa.array(has_letter(piece.column("text"))))
 
-    found = rows.filter(about(JUDGED, False)).select("text").mapInArrow(lean(judged), "octave long, score double").toArrow()
+    found = rows.filter(about(JUDGED)).select("text").mapInArrow(lean(judged), "octave long, score double").toArrow()
     shared.destroy()
     return model._replace(bounds=bounds_of(found.column("octave").to_numpy(), found.column("score").to_numpy()))
 

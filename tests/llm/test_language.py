@@ -82,3 +82,40 @@ def test_long_junk_is_rejected_and_clean_texts_stay(spark):
     left = keep_known(docs.unionByName(odd))
     assert left.filter("source = 'junk'").count() == 0
     assert left.count() >= 0.998 * docs.filter("text rlike '[A-Za-z]'").count()
+
+
+def test_centroids_are_learned_from_every_labelled_text(spark):
+    # each text has n-grams of its own, many of them in none of any few hundred other texts
+    r = np.random.default_rng(5)
+    texts = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(3000)]
+    df = spark.createDataFrame([(k, t, ("en", "fr")[k % 2]) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = train(df.repartition(3))
+    for lang in ("en", "fr"):
+        own = [t for k, t in enumerate(texts) if ("en", "fr")[k % 2] == lang]
+        learned = model.centroids[[x == lang for x in model.languages]].max(axis=0) > 0
+        assert (learned == (counts_of(pa.array(own)) > 0).any(axis=0)).all()
+    again = train(df.repartition(7))
+    assert (again.centroids == model.centroids).all() and again.languages == model.languages
+
+
+def test_the_centroids_by_plain_rounds(spark):
+    df = table(spark)
+    rows = sorted(df.collect())
+    counts = counts_of(pa.array([x.text for x in rows])).astype(float)
+    model = train(df, clusters=3, rounds=2)
+    vectors = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * model.idf
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    for lang in TEXTS:
+        mine = [k for k, x in enumerate(rows) if x.lang == lang]
+        mean = (counts[mine] > 0).sum(axis=0) * model.idf
+        mean /= np.linalg.norm(mean)
+        centres = []
+        for j in range(3):
+            signs = np.random.default_rng(j).choice([-1.0, 1.0], DIMENSIONS)
+            centres.append(signs - (signs @ mean) * mean)
+        for _ in range(2):
+            to = [int(np.argmax([vectors[k] @ c for c in centres])) for k in mine]
+            sums = [sum(vectors[k] for k, own in zip(mine, to, strict=True) if own == j) for j in range(len(centres)) if j in to]
+            centres = [s / np.linalg.norm(s) for s in sums]
+        got = model.centroids[[x == lang for x in model.languages]]
+        assert got.shape == np.shape(centres) and np.abs(got - centres).max() < 1e-4
