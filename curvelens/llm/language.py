@@ -13,8 +13,9 @@ in Spark by dimension. Centroids are learned from all labelled texts too: ROUNDS
 goes to the nearest centroid of its own language and the next centroids are the means of theirs. The first
 pass starts from fixed random directions at right angles to the language's mean; a cluster without texts goes. Sums are of
 whole numbers (weights in steps of 1 / STEPS), so they don't depend on how rows are dealt. The driver
-gets DIMENSIONS sums per centroid, no texts. Bounds come from a sample of labelled texts, about JUDGED per language, of
-which the driver gets octave and cosine. Prediction is one narrow Arrow pass with a broadcast matrix of DIMENSIONS x centroids.
+gets DIMENSIONS sums per centroid, no texts. Bounds come from all labelled texts: their octaves and cosines are
+stored, and the driver gets counts of cosines by octave, coarse ones but where a bound lies, which makes the quantiles
+exact. Prediction is one narrow Arrow pass with a broadcast matrix of DIMENSIONS x centroids.
 Statistics and predictions use whole texts.
 
 Defined results. Null texts and texts without a letter are `und` with score 0 and rejected.
@@ -34,11 +35,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import in_small_batches, lean, named, opened, own, restored, share, table, text_of, with_own
+from curvelens.llm.common import in_small_batches, lean, named, opened, own, restored, share, stored, table, text_of, with_own
 
 DIMENSIONS = 1 << 13
-#: Labelled texts per language that the bounds of rejection are made from, about; and their shape.
-JUDGED = 6000
+#: The shape of the bounds of rejection.
 FARTHEST, SLACK, LEAST_JUDGED = 0.001, 0.9, 200
 OCTAVES = 40
 CLUSTERS, ROUNDS = 4, 3
@@ -120,17 +120,57 @@ def nearest(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate(best), np.concatenate(score), np.concatenate(octaves)
 
 
-def bounds_of(octaves: np.ndarray, cosines: np.ndarray) -> np.ndarray:
-    """The least cosine of each octave; without enough texts that of the octave before."""
-    out, bound = np.zeros(OCTAVES), 0.5 * float(cosines.min()) if len(cosines) else 0.0
+def _around(octaves: np.ndarray, cosines: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float] | None]:
+    """For each octave, of it and the two beside it: the two entries that the quantile lies between, and how far
+    it is from the first; None without enough texts. Entries are in order of cosines."""
+    out: list[tuple[np.ndarray, np.ndarray, float] | None] = []
     for k in range(OCTAVES):
-        own = cosines[np.abs(octaves - k) <= 1]
-        if len(own) >= LEAST_JUDGED:
-            bound = SLACK * float(np.quantile(own, FARTHEST))
+        own = np.flatnonzero(np.abs(octaves - k) <= 1)
+        upto = np.cumsum(counts[own])
+        if not len(own) or upto[-1] < LEAST_JUDGED:
+            out.append(None)
+            continue
+        at = FARTHEST * float(upto[-1] - 1)
+        low, high = np.searchsorted(upto, [int(at), min(int(at) + 1, upto[-1] - 1)], "right")
+        out.append((own[low], own[high], at - int(at)))
+    return out
+
+
+def bounds_of(octaves: np.ndarray, cosines: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """The least cosine of each octave; without enough texts that of the octave before."""
+    order = np.argsort(cosines, kind="stable")
+    octaves, cosines = octaves[order], cosines[order]
+    counts = np.ones(len(order), np.int64) if counts is None else counts[order]
+    out, bound = np.zeros(OCTAVES), 0.5 * float(cosines[0]) if len(cosines) else 0.0
+    for k, around in enumerate(_around(octaves, cosines, counts)):
+        if around is not None:
+            low, high, part = around
+            bound = SLACK * float(cosines[low] + part * (cosines[high] - cosines[low]))
         out[k] = bound
     return out
 
 
+def _bounds(judged: DataFrame) -> np.ndarray:
+    """The bounds from octave and bits (of a cosine in single precision, whose order they have) of any number of texts."""
+    judged = stored(judged, "judged")
+    coarse = judged.groupBy("octave", F.shiftright("bits", 16).alias("bits")).agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("bits")
+    octaves, bits, counts = (coarse.column(c).to_numpy() for c in ("octave", "bits", "n"))
+    if not len(bits):
+        return np.zeros(OCTAVES)
+    places = octaves.astype(np.int64) << 16 | bits
+    asked = bits == bits[0]
+    for k, around in enumerate(_around(octaves, bits, counts)):
+        if around is not None:
+            asked |= (np.abs(octaves - k) <= 1) & np.isin(bits, bits[list(around[:2])])
+    place = F.shiftleft("octave", 16).bitwiseOR(F.shiftright("bits", 16))
+    fine = judged.filter(place.isin(places[asked].tolist())).groupBy("octave", "bits").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    rest = ~asked
+    octaves = np.concatenate([octaves[rest], fine.column("octave").to_numpy()])
+    counts = np.concatenate([counts[rest], fine.column("n").to_numpy()])
+    bits = np.concatenate([bits[rest].astype(np.int32) << 16, fine.column("bits").to_numpy().astype(np.int32)])
+    return bounds_of(octaves, bits.astype(np.int32).view(np.float32).astype(float), counts)
+
+
 def _weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     w = np.zeros(counts.shape, np.float32)
     some = counts > 0
@@ -199,27 +239,18 @@ def _next(rows: DataFrame, model: Model) -> Model:
     return model._replace(centroids=centroids.astype(np.float32), languages=[model.languages[j] for j in left])
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = CLUSTERS, rounds: int = ROUNDS) -> Model:
-    rows = in_small_batches(labelled).select(named(lang_col).cast("string").alias("lang"), F.xxhash64(named(id_col).cast("string"), F.lit(4)).alias("hash"), text_of(text_col)).filter("lang is not null and text is not null")
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", clusters: int = CLUSTERS, rounds: int = ROUNDS) -> Model:
+    rows = in_small_batches(labelled).select(named(lang_col).cast("string").alias("lang"), text_of(text_col)).filter("lang is not null and text is not null")
     sums = rows.select("lang", "text").mapInArrow(lean(_frequencies), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     frequencies: dict[str, np.ndarray] = {lang: np.zeros(DIMENSIONS + 1) for lang in sorted(sums.column("lang").unique().to_pylist())}
     for lang, own in frequencies.items():
         part = sums.filter(pc.equal(sums.column("lang"), lang))
         own[part.column("slot").to_numpy() + 1] = part.column("n").to_numpy()
-    sizes = {lang: int(own[0]) for lang, own in frequencies.items()}
     df = sum(frequencies.values(), np.zeros(DIMENSIONS + 1))
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
-
-    def about(n: int) -> Column:
-        """About n texts of each language, by a hash of the id."""
-        part, place = F.lit(False), F.pmod("hash", F.lit(1_000_000))
-        for lang, size in sizes.items():
-            part = part | ((F.col("lang") == lang) & (place >= 1_000_000 - min(1_000_000, -(-1_000_000 * n // size))))
-        return part
-
     centroids = [np.zeros((0, DIMENSIONS), np.float32), *(_directions(own[1:] * idf, clusters) for own in frequencies.values())]
-    model = Model(idf, np.concatenate(centroids), [lang for lang in sizes for _ in range(clusters)], np.zeros(OCTAVES))
-    if not sizes:
+    model = Model(idf, np.concatenate(centroids), [lang for lang in frequencies for _ in range(clusters)], np.zeros(OCTAVES))
+    if not frequencies:
         return model
     for _ in range(rounds):
         model = _next(rows, model)
@@ -229,11 +260,12 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         for batch in batches:
             for piece in scan.pieces(batch, "text"):
                 _, score, octaves = nearest(piece.column("text"), opened(shared))
-                yield pa.RecordBatch.from_arrays([pa.array(octaves), pa.array(score)], ["octave", "score"]).filter(pa.array(has_letter(piece.column("text"))))
+                bits = (score + 0.0).astype(np.float32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(octaves.astype(np.int32)), pa.array(bits)], ["octave", "bits"]).filter(pa.array(has_letter(piece.column("text"))))
 
-    found = rows.filter(about(JUDGED)).select("text").mapInArrow(lean(judged), "octave long, score double").toArrow()
+    bounds = _bounds(rows.select("text").mapInArrow(lean(judged), "octave int, bits int"))
     shared.destroy()
-    return model._replace(bounds=bounds_of(found.column("octave").to_numpy(), found.column("score").to_numpy()))
+    return model._replace(bounds=bounds)
 
 
 def _predicted(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -273,7 +305,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that are not rejected, unchanged; learned from the rows that aren't held out."""
-    model = train(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
+    model = train(docs.filter(~held_out(id_col)), text_col, lang_col)
     return _predicted(docs, model, text_col).filter("not rejected").select(*restored(docs, docs.columns, **{text_col: F.col("text")}))
 
 

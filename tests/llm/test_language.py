@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from curvelens.llm.language import DIMENSIONS, Model, OCTAVES, bounds_of, counts_of, has_letter, keep_known, op4_language, predict, train
+from curvelens.llm.language import DIMENSIONS, Model, OCTAVES, bounds_of, counts_of, has_letter, keep_known, nearest, op4_language, predict, train
 
 TEXTS = {"en": "the quick and the dead of this thing that is there when they", "fr": "les enfants où étaient nous avons été très heureux à la maison", "de": "der schöne Garten und die großen Häuser über dem Fluß"}
 
@@ -119,3 +119,21 @@ def test_the_centroids_by_plain_rounds(spark):
             centres = [s / np.linalg.norm(s) for s in sums]
         got = model.centroids[[x == lang for x in model.languages]]
         assert got.shape == np.shape(centres) and np.abs(got - centres).max() < 1e-4
+
+
+def plain_bounds(octaves, cosines):
+    out, bound = [], 0.5 * cosines.min()
+    for k in range(OCTAVES):
+        own = cosines[(octaves >= k - 1) & (octaves <= k + 1)]
+        bound = 0.9 * np.quantile(own, 0.001) if len(own) >= 200 else bound
+        out.append(bound)
+    return np.array(out)
+
+
+def test_bounds_come_from_every_labelled_text(spark):
+    r = np.random.default_rng(6)
+    words = ["".join(r.choice(list("abcdefghij"), 4)) for _ in range(300)]
+    texts = [" ".join(words[x] for x in r.integers(0, 300, r.integers(1, 12))) for _ in range(9000)]
+    model = train(spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    _, cosines, octaves = nearest(pa.array(texts), model)
+    assert np.abs(model.bounds - plain_bounds(octaves, cosines)).max() < 1e-5
