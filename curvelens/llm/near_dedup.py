@@ -5,8 +5,9 @@ distinct shingles of five words; with fewer words, the whole sequence is one; wi
 the set is empty and linked with nothing. Two documents are linked if 100 * intersection >=
 75 * union. Components of links are groups.
 
-Plan. (1) One pass computes sets, a 128-bit key of each set, and 128 minima of it. Equal sets
-are one node from here on, so thousands of copies cost one. (2) The forest: TREES orders of
+Plan. (1) One pass computes sets, a 128-bit key of each set, and 128 minima of it, of which low bits
+are kept (a minimum's high bits are mostly zero, the more so the larger the set). Equal sets are one node
+from here on, so thousands of copies cost one. (2) The forest: TREES orders of
 the nodes, each sorted by DEPTH of the minima, dealt by range, so an order of any size and a
 region of any size spread over tasks. Neighbours in an order with a long enough common prefix
 are candidates, over the edges of batches and tasks too; the length asked for grows with the size of
@@ -17,6 +18,7 @@ few minima support are left. (4) Candidates with one centre are a family. A task
 of a block of a family on the full sets: everyone with the centre, and those that are not
 linked to it with all others. A family of more than BLOCK nodes or BLOCK_SHINGLES shingles is dealt
 over several blocks that each get the centre; those not linked to it then visit the other blocks.
+Texts are shuffled only if their node's bit is set in a map of the nodes in families.
 (5) Components, by stars, in Spark.
 
 Sets hold 64-bit hashes of shingles. Nothing is collected to the driver.
@@ -52,6 +54,13 @@ CENTRE_SHARE, NEIGHBOUR_SHARE = 0.38, 0.58
 #: Nodes, and shingles of all their sets, of a family that meet in one task.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 _MINIMA = TREES * DEPTH
+#: Bytes kept of the first minimum of a tree, which names a region, and of each other one. Regions are shared
+#: by chance once in 2^40 pairs, so that their number follows the nodes, not the square of them.
+FIRST, OTHER = 5, 2
+_PREFIX = FIRST + OTHER * (DEPTH - 1)
+#: Bits of the map of nodes whose texts are needed: 2000 rows of 4 KB, which is 8 MB with what Spark adds (its table
+#: doubles beyond). It does not grow with the input; the fuller it is, the more other texts are shuffled, too.
+MARKS = 2000 << 15
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +85,13 @@ def _factors() -> tuple[np.ndarray, np.ndarray]:
     return seed[:_MINIMA] | np.uint64(1), seed[_MINIMA:]
 
 
+def _low_bytes(minima: np.ndarray) -> np.ndarray:
+    """A row of bytes for each set: by tree, the low FIRST bytes of its first minimum, and of its others the upper OTHER of these."""
+    low = minima.view(np.uint8).reshape(len(minima), TREES, DEPTH, 8)[..., :FIRST]
+    others = low[:, :, 1:, FIRST - OTHER :].reshape(len(minima), TREES, -1)
+    return np.concatenate([low[:, :, 0], others], axis=2).reshape(len(minima), -1)
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multiply, add = _factors()
@@ -86,9 +102,10 @@ def _signatures(width: int):
                 flat, offsets, _ = shingle_sets(column, width)
                 sizes = np.diff(offsets)
                 full = np.flatnonzero(sizes)
-                minima = np.empty((len(full), _MINIMA), ">u4")
+                minima = np.empty((len(full), _MINIMA), "<u8")
                 for j in range(_MINIMA if len(full) else 0):
-                    minima[:, j] = np.minimum.reduceat((flat * multiply[j] + add[j]) >> np.uint64(32), offsets[:-1][full])
+                    minima[:, j] = np.minimum.reduceat(flat * multiply[j] + add[j], offsets[:-1][full])
+                minima = _low_bytes(minima)
                 keys: list[bytes | None] = [None] * piece.num_rows
                 signs: list[bytes | None] = [None] * piece.num_rows
                 for k, i in enumerate(full.tolist()):
@@ -116,32 +133,34 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(node)
         return pa.RecordBatch.from_arrays([pa.array(region), pa.array(node), pa.array(beside), pa.array(common, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["region", "node", "beside", "common", "edge", "prefix"])
 
-    def edge(number: int, tree: int, key: np.ndarray, node: int) -> pa.RecordBatch:
-        region = (int(tree) << 32) | int(key[0])
-        return pa.RecordBatch.from_arrays([pa.array([region]), pa.array([int(node)]), pa.array([-1]), pa.array([0], pa.int32()), pa.array([number], pa.int32()), pa.array([key.astype(">u4").tobytes()], pa.binary())], ["region", "node", "beside", "common", "edge", "prefix"])
+    def regions(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return (tree << 8 * FIRST) | (keys[:, :FIRST].astype(np.int64) << 8 * np.arange(FIRST)).sum(axis=1)
+
+    def edge(number: int, tree: np.ndarray, keys: np.ndarray, node: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(regions(tree, keys)), pa.array([int(node)]), pa.array([-1]), pa.array([0], pa.int32()), pa.array([number], pa.int32()), pa.array([keys.tobytes()], pa.binary())], ["region", "node", "beside", "common", "edge", "prefix"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, _ = scan.text_bytes(batch.column("prefix"))
-        keys = keys.reshape(-1, 4 * DEPTH).copy().view(">u4").reshape(-1, DEPTH).astype(np.uint32)
+        keys = keys.reshape(-1, _PREFIX).copy()
         tree, node = batch.column("tree").to_numpy().astype(np.int64), batch.column("node").to_numpy()
         if held is None:
-            yield edge(2 * part, tree[0], keys[0], node[0])
+            yield edge(2 * part, tree[:1], keys[:1], node[0])
             shared = True  # with what may come before this stretch
         else:
             keys, tree, node, shared = np.concatenate([held[0], keys]), np.concatenate([held[1], tree]), np.concatenate([held[2], node]), held[3]
-        same = np.logical_and.accumulate(keys[1:] == keys[:-1], axis=1) & (tree[1:] == tree[:-1])[:, None]
+        same = np.logical_and.reduceat(keys[1:] == keys[:-1], [0, *range(FIRST, _PREFIX, OTHER)], axis=1)
+        same = np.logical_and.accumulate(same, axis=1) & (tree[1:] == tree[:-1])[:, None]
         common = same.sum(axis=1)
         before = np.concatenate([[shared], common > 0])
         here = np.flatnonzero(before[:-1] | (common > 0))
-        region = (tree << 32) | keys[:, 0].astype(np.int64)
-        yield rows(region[here], node[here], np.where(common > 0, node[1:], -1)[here], common[here])
+        yield rows(regions(tree[here], keys[here]), node[here], np.where(common > 0, node[1:], -1)[here], common[here])
         held = keys[-1:], tree[-1:], node[-1:], bool(before[-1])
     if held is not None:
         keys, tree, node, _ = held
-        yield rows((tree << 32) | keys[:, 0].astype(np.int64), node, np.array([-1]), np.array([0]))
-        yield edge(2 * part + 1, tree[0], keys[0], node[0])
+        yield rows(regions(tree, keys), node, np.array([-1]), np.array([0]))
+        yield edge(2 * part + 1, tree, keys, node[0])
 
 
 def _over_edges(edges: DataFrame) -> DataFrame:
@@ -149,7 +168,7 @@ def _over_edges(edges: DataFrame) -> DataFrame:
     ahead = Window.orderBy("edge")
     after = {c: F.lead(c).over(ahead) for c in ("region", "node", "prefix")}
     pairs = edges.select("edge", "region", "node", "prefix", *(x.alias(f"next_{c}") for c, x in after.items())).filter("edge % 2 = 1 and next_region = region")
-    parts = [F.when(F.substring("prefix", 1, 4 * k) == F.substring("next_prefix", 1, 4 * k), 1).otherwise(0) for k in range(1, DEPTH + 1)]
+    parts = [F.when(F.substring("prefix", 1, k) == F.substring("next_prefix", 1, k), 1).otherwise(0) for k in range(FIRST, _PREFIX + 1, OTHER)]
     return pairs.select("region", "node", F.col("next_node").alias("beside"), sum(parts[1:], parts[0]).alias("common"))
 
 
@@ -248,7 +267,7 @@ def _confirm(group: pa.Table, percent: int, width: int) -> pa.Table:
 def _links(rows: DataFrame, nodes: DataFrame, percent: int, width: int, block: int) -> DataFrame:
     """Edges (a, b) between nodes, enough to connect whatever links connect."""
     signs = nodes.select("node", "sign")
-    trees = signs.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sign").select("tree", F.substring("sign", F.col("tree") * 4 * DEPTH + 1, F.lit(4 * DEPTH)).alias("prefix"), "node")
+    trees = signs.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sign").select("tree", F.substring("sign", F.col("tree") * _PREFIX + 1, F.lit(_PREFIX)).alias("prefix"), "node")
     ordered = trees.repartitionByRange("tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
     found = stored(ordered.mapInArrow(lean(_neighbours), _PLACES), "places")
     places = found.filter("edge is null").select("region", "node", "beside", "common")
@@ -282,24 +301,36 @@ def _links(rows: DataFrame, nodes: DataFrame, percent: int, width: int, block: i
     members = merged(families, blocks, "centre").select("centre", "node", "blocks", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), F.lit(1).alias("kind"))
     heads = blocks.select("centre", F.col("centre").alias("node"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"))
     texts = rows.select(F.col("row").alias("node"), "packed")
+    there = families.select("node").union(families.select("centre"))
     confirm = lambda group: _confirm(group, percent, width)
     seats = members.unionByName(heads)
-    first = merged(seats, texts, "node").select("centre", "block", "node", "kind", "packed")
+    first = merged(seats, _marked(texts, there), "node").select("centre", "block", "node", "kind", "packed")
     found = stored(first.groupBy("centre", "block").applyInArrow(confirm, "a long, b long"), "links")
     edges = found.filter("b >= 0")
     if blocks.filter("blocks > 1").limit(1).count():
         alone = found.filter("b < 0").select(F.col("a").alias("node")).distinct()
         visits = merged(members.filter("blocks > 1"), alone, "node").select("centre", "node", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).filter("own <> block")
-        seats = members.filter("blocks > 1").select("centre", "node", "block", "kind").union(visits.select("centre", "node", "block", F.lit(2).alias("kind")))
-        more = merged(seats, texts, "node").select("centre", "block", "node", "kind", "packed")
+        seats = stored(members.filter("blocks > 1").select("centre", "node", "block", "kind").union(visits.select("centre", "node", "block", F.lit(2).alias("kind"))), "seats")
+        more = merged(seats, _marked(texts, seats.select("node")), "node").select("centre", "block", "node", "kind", "packed")
         edges = edges.union(stored(more.groupBy("centre", "block").applyInArrow(confirm, "a long, b long"), "links").filter("b >= 0"))
     return edges
 
 
+def _marked(texts: DataFrame, there: DataFrame) -> DataFrame:
+    """The texts of these nodes, and some others: a node is known by its bit in a map of MARKS bits, which is broadcast."""
+    place = F.pmod(F.xxhash64("node"), F.lit(MARKS)) + 1
+    marks = there.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = texts.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "bucket")
+    return near.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select("node", "packed")
+
+
 def _bytes_of_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            last = scan.text_bytes(batch.column("sign"))[0].reshape(batch.num_rows, -1)[:, 3::4].copy()
+            signs = scan.text_bytes(batch.column("sign"))[0].reshape(batch.num_rows, TREES, _PREFIX)
+            last = signs[:, :, FIRST - 1 :: OTHER].reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in last], pa.binary())], ["node", "sign"])
 
 
@@ -310,11 +341,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     signed = side.mapInArrow(_signatures(width), with_own(docs, keep, "id long, n long, key binary, sign binary, packed binary"))
     rows = stored(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
 
-    first = rows.filter("key is not null").groupBy("key").agg(F.min(F.struct("id", "row")).alias("first"))
-    first = stored(first.select("key", F.col("first.id").alias("first_id"), F.col("first.row").alias("node")), "nodes")
-    nodes = merged(first.select("node"), rows.select(F.col("row").alias("node"), "sign", "n"), "node")
-    linked = components(_links(rows, nodes, percent, width, block))
-    label = merged(first, linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # signatures go along, as to fetch them afterwards would shuffle them for each use
+    first = rows.filter("key is not null").groupBy("key").agg(F.min(F.struct("id", "row", "n", "sign")).alias("first"))
+    first = stored(first.select("key", F.col("first.id").alias("first_id"), F.col("first.row").alias("node"), "first.n", "first.sign"), "nodes")
+    linked = components(_links(rows, first.select("node", "n", "sign"), percent, width, block))
+    label = merged(first.select("key", "first_id", "node"), linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = label.groupBy("component").agg(F.min(F.struct("first_id", "node")).alias("lead"))
     label = merged(label, lead, "component").select("key", F.col("lead.first_id").alias("lead"), F.col("lead.node").alias("lead_row"))
     out = merged(rows, label, "key", "left")

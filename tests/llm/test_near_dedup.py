@@ -1,8 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
+from curvelens.llm import near_dedup
 from curvelens.llm.components import components
-from curvelens.llm.near_dedup import digests, drop_near_duplicates
+from curvelens.llm.near_dedup import TREES, digests, drop_near_duplicates
 
 
 def shingles(text):
@@ -113,3 +117,42 @@ def test_exact_on_a_middle_table(spark):
                 x, y = root(k), root(other)
                 lead[max(x, y)] = min(x, y)
     assert {x.doc_id: x.component_id for x in digests(df).collect()} == {k: root(k) for k in rows}
+
+
+def test_minima_of_large_sets_use_all_their_bits():
+    r = random.Random(5)
+    texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(400)) for _ in range(150)]
+    batch = pa.record_batch({"own": pa.array([{"none": 0}] * 150), "id": pa.array(range(150), pa.int64()), "text": pa.array(texts)})
+    signs = [x for b in near_dedup._signatures(5)(iter([batch])) for x in b.column("sign").to_pylist()]
+    first = np.frombuffer(b"".join(signs), np.uint8).reshape(150, TREES, -1)[:, :, :4]
+    # 4800 values a byte: unrelated texts must not meet in a region because high bits are zero
+    assert [len(np.unique(first[:, :, k])) for k in range(4)] == [256] * 4
+
+
+def test_texts_without_a_family_are_not_shuffled(spark, monkeypatch, tmp_path):
+    r = random.Random(6)
+    rows = {k: " ".join(f"{r.getrandbits(64):x}" for _ in range(2500)) for k in range(120)}
+    rows |= {200 + k: rows[k] + " and a tail" for k in range(4)}
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    context = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        context.listenerBus().waitUntilEmpty()
+        executors = context.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    expected = brute(rows)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(name)
+    try:
+        spark.conf.set(name, -1)
+        before = written()
+        assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in digests(df).collect()} == expected
+        # a hexadecimal digit takes half a byte: compressed, all texts are more than this
+        assert written() - before < sum(map(len, rows.values())) / 4
+        # a full map lets all texts through
+        monkeypatch.setattr(near_dedup, "MARKS", 1)
+        assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in digests(df).collect()} == expected
+    finally:
+        spark.conf.set(name, old)
