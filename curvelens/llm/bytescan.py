@@ -19,6 +19,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _WINDOW = 0xD6E8FEB86659FD93
 _WINDOW_INV = pow(_WINDOW, -1, 1 << 64)
+#: Numbers whose powers are in a table, and that are summed at a time; a power of two.
+_BLOCK = 1 << 15
 
 
 class _Kept(dict):
@@ -103,12 +105,33 @@ def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
 def powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16) + 1, base, np.uint64)
+        have = np.full(max(n, _BLOCK) + 1, base, np.uint64)
         have[0] = 1
         _POWERS[base] = have = np.multiply.accumulate(have)
     return have[:n]
 
 
+def power_at(base: int, at: np.ndarray) -> np.ndarray:
+    """base**at modulo 2**64, from two small tables however large the exponents."""
+    high = at // _BLOCK
+    out = powers(pow(base, _BLOCK, 1 << 64), int(high.max(initial=0)) + 1)[high]
+    out *= powers(base, _BLOCK)[at % _BLOCK]
+    return out
+
+
+def weighted_sums(x: np.ndarray, base: int, plus: int = 0) -> np.ndarray:
+    """For each place, the sum of (x[i] + plus) * base**i over all i before it, modulo 2**64; little is held besides."""
+    sums = np.zeros(len(x) + 1, np.uint64)
+    for a in range(0, len(x), _BLOCK):
+        part = x[a : a + _BLOCK].astype(np.uint64)
+        part += np.uint64(plus)
+        part *= powers(base, len(part))
+        part *= np.uint64(pow(base, a, 1 << 64))
+        part[0] = (int(part[0]) + int(sums[a])) % (1 << 64)
+        np.cumsum(part, out=sums[a + 1 : a + 1 + len(part)])
+    return sums
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """The 64 bits stirred, so that any of them can serve as a bucket."""
     h = h ^ (h >> np.uint64(30))
@@ -121,9 +144,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A polynomial hash of each byte span, from prefix sums modulo 2**64."""
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(buf)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(_BASE_INV, len(buf) + 1)[starts]
+    sums = weighted_sums(buf, _BASE, 1)
+    h = (sums[ends] - sums[starts]) * power_at(_BASE_INV, starts)
     return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
@@ -132,12 +154,10 @@ def window_hashes(word_hashes: np.ndarray, offsets: np.ndarray, width: int) -> t
 
     Returns the first word of each window, its hash, and document offsets into those.
     """
-    n = len(word_hashes)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(word_hashes * powers(_WINDOW, n), out=sums[1:])
+    sums = weighted_sums(word_hashes, _WINDOW)
     counts = np.maximum(np.diff(offsets) - width + 1, 0)
     at = spread(offsets[:-1], counts)
-    h = mixed((sums[at + width] - sums[at]) * powers(_WINDOW_INV, n + 1)[at])
+    h = mixed((sums[at + width] - sums[at]) * power_at(_WINDOW_INV, at))
     return at, h, np.concatenate([[0], np.cumsum(counts)])
 
 

@@ -123,19 +123,23 @@ def opened(broadcast: Broadcast):
     return broadcast._opened
 
 
-def lean(run: Callable) -> Callable:
-    """The same Arrow pass or grouped function; what it freed goes back to the system when it ends, as workers live on."""
-
-    def release() -> None:
+@contextlib.contextmanager
+def trimmed():
+    """What was freed meanwhile goes back to the system at the end, as workers live on."""
+    try:
+        yield
+    finally:
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
+
+def lean(run: Callable) -> Callable:
+    """The same Arrow pass, trimmed when it ends."""
+
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
+        with trimmed():
             yield from run(batches)
-        finally:
-            release()
 
     return passes
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.llm import bytescan as scan
-from curvelens.llm.common import identity, in_small_batches, lean, named, own, power_of_two, restored, table, text_of, text_size, with_own
+from curvelens.llm.common import identity, in_small_batches, lean, named, own, power_of_two, restored, table, text_of, text_size, trimmed, with_own
 
 WINDOW = 20
 #: Bytes of text whose windows one group of step 2 holds on average.
@@ -147,6 +147,7 @@ def _packs(batches: Iterator[pa.RecordBatch], width: int, bits: int, limit: int
         if not base:
             return
         ids, marks, where, h = np.concatenate(ids), np.concatenate(marks), np.concatenate(where), np.concatenate(hashes)
+        del hashes
         if not len(h):
             return
         rank = np.empty(base, np.uint64)
@@ -173,6 +174,7 @@ def _packs(batches: Iterator[pa.RecordBatch], width: int, bits: int, limit: int
 
         by = np.argsort(h, kind="stable")
         where, h = where[by], h[by]
+        del by
         later = np.zeros(len(h), bool)
         later[1:] = h[1:] == h[:-1]
         twice = np.zeros(len(h), bool)
@@ -183,9 +185,11 @@ def _packs(batches: Iterator[pa.RecordBatch], width: int, bits: int, limit: int
         gone.append(where[known])
         seen.add(h[twice & ~known & ~sent], place(where[twice & ~known & ~sent]))
         where, h = where[~known & ~sent], h[~known & ~sent]
+        del later, twice, known, sent
         part = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
         by = np.lexsort((where, part))
         where, h, part = where[by], h[by], part[by]
+        del by
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
         out = [(int(part[a]), _places(*place(where[a:b])), _low_bytes(h[a:b])) for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
         gone = np.sort(np.concatenate(gone))
@@ -271,7 +275,12 @@ def repeated_starts(docs: DataFrame, bits: int, window: int = WINDOW, id_col: st
     rows = docs.select(identity(id_col).alias("id"), _mark(id_col, text_col), text_of(text_col))
     packs = rows.mapInArrow(lean(lambda it: _packs(it, window, bits)), "range int, places binary, hashes binary")
     keyed = packs.withColumn("key", F.when(F.col("range") < 0, -1 - F.col("range")).otherwise(F.col("range")))
-    return keyed.groupBy("key").applyInArrow(lambda group: _later(group, bits), "home long, places binary")
+
+    def later(group: pa.Table) -> pa.Table:
+        with trimmed():
+            return _later(group, bits)
+
+    return keyed.groupBy("key").applyInArrow(later, "home long, places binary")
 
 
 def _squeeze(bits: int):
@@ -304,7 +313,7 @@ def _at_home(docs: DataFrame, window: int, id_col: str, text_col: str, keep: lis
     side = docs.select(own(keep), identity(id_col).alias("id"), _mark(id_col, text_col), text_of(text_col))
     side = side.mapInArrow(_squeeze(bits), with_own(docs, keep, "id long, mark long, packed binary, home long"))
 
-    def meet(rows: pa.Table, marked: pa.Table) -> pa.Table:
+    def met(rows: pa.Table, marked: pa.Table) -> pa.Table:
         gone: dict[tuple, list] = {}
         for data in marked.column("places").to_pylist():
             ids, marks, counts, starts = _from_places(data)
@@ -316,6 +325,10 @@ def _at_home(docs: DataFrame, window: int, id_col: str, text_col: str, keep: lis
         columns = finish(texts, (gone.get(k, []) for k in keys))
         return pa.table({"own": rows.column("own")} | columns)
 
+    def meet(rows: pa.Table, marked: pa.Table) -> pa.Table:
+        with trimmed():
+            return met(rows, marked)
+
     return side.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(meet, with_own(docs, keep, made))
 
 
